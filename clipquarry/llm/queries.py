@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, host_rules, mixing
+from . import bpe, exact_dedup, host_rules, mixing, secret_scan, url_rules
 
 QUERIES = {
     "op2_pareto_mix": mixing.op2_pareto_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_url_rules": url_rules.op5_url_rules,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_host_rules": host_rules.op7_host_rules,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
