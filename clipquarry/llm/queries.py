@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, host_rules, kneser_ney, mixing, near_dedup, secret_scan, toxicity, url_rules
+from . import bpe, exact_dedup, host_rules, kneser_ney, mixing, near_dedup, passage_dedup, secret_scan, toxicity, url_rules
 
 QUERIES = {
     "op1_kneser_ney": kneser_ney.op1_kneser_ney,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_host_rules": host_rules.op7_host_rules,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_passage_dedup": passage_dedup.op10_passage_dedup,
 }
 
 ORACLE_SQL = {
