@@ -133,9 +133,11 @@ def encode_decode(df: DataFrame, text: str = "text", ranks_path: str | None = No
     return _run(df, text, None, {"token_ids": True, "decoded": True}, ranks_path, pattern)
 
 
-def digests(df: DataFrame) -> DataFrame:
+def digests(df: DataFrame, *keep: str) -> DataFrame:
+    """Of token_ids and decoded: n_tokens, ids_sha256 and decoded_sha256, with doc_id and the columns to keep."""
     return df.select(
         "doc_id",
+        *keep,
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

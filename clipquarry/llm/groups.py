@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import forget, written
 
 
-def each_group(fn: Callable[[pa.Table], dict[str, np.ndarray] | None], schema: pa.Schema):
-    """A mapInArrow function for rows that come sorted by their first column: fn gets the rows of one value at a time.
+def each_group(fn: Callable[[pa.Table], dict[str, np.ndarray] | None], schema: pa.Schema, least: int = 2):
+    """A mapInArrow function for rows that come sorted by their first column: fn gets the rows of one value at a time, if there are ``least`` of them.
 
     A group is held in memory as a whole; callers bound its rows and bytes before.
     """
@@ -28,7 +28,7 @@ def each_group(fn: Callable[[pa.Table], dict[str, np.ndarray] | None], schema: p
 
         def take(group: pa.Table) -> None:
             nonlocal rows
-            if group.num_rows > 1 and (x := fn(group)) is not None and len(x[schema.names[0]]):
+            if group.num_rows >= least and (x := fn(group)) is not None and len(x[schema.names[0]]):
                 out.append(x)
                 rows += len(x[schema.names[0]])
 
@@ -48,7 +48,7 @@ def each_group(fn: Callable[[pa.Table], dict[str, np.ndarray] | None], schema: p
                 elif held:
                     take(pa.Table.from_batches([*held, part]))
                     held = []
-                elif b - a > 1:
+                elif b - a >= least:
                     take(pa.Table.from_batches([part]))
                 if rows >= 50_000:
                     yield flush()
