@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, without
+from .common import slices, table, without
 
 #: Characters after which a long text is cut at the next safe boundary.
 CHUNK = 1 << 16
@@ -86,7 +86,7 @@ def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
 def _pass(ranks, pattern: str, text: str | None, ids: str | None, schema: pa.Schema, keep: list[str], encode: bool, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(i) for i, _ in enumerate(keep)]
             packed = []
             if encode:

@@ -63,6 +63,16 @@ def forget(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def slices(batches, rows: int = 512):
+    """Record batches in pieces of at most ``rows`` rows, so that what a worker holds of long texts stays small."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns that clash with those names, whatever their case."""
     taken = {x.lower() for x in names}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole, written
+from .common import slices, table, whole, written
 
 BITS, ORDER = 6, 4
 SIZE = 1 << BITS
@@ -78,14 +78,23 @@ def keys(text: str) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << (BITS * ORDER), np.int64)
-    for batch in batches:
+    total = np.zeros(1 << (BITS * ORDER), np.uint32)
+    held = 0
+
+    def counted() -> pa.RecordBatch:
+        k = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k].astype(np.int64))], ["k", "c"])
+
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             if text:
                 k, n = np.unique(keys(text), return_counts=True)
-                total[k] += n
-    k = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], ["k", "c"])
+                total[k] += n.astype(np.uint32)
+                held += len(text)
+                if held > 1 << 31:  # before a count can overflow
+                    yield counted()
+                    total[:] = held = 0
+    yield counted()
 
 
 def counts(texts: DataFrame) -> DataFrame:
@@ -130,16 +139,10 @@ def log_table(model: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     return np.log(p, out=p)
 
 
-_LOADED: dict[int, np.ndarray] = {}
-
-
 def _score(shared, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.id not in _LOADED:
-            _LOADED.clear()
-            _LOADED[shared.id] = log_table(shared.value)
-        logs = _LOADED[shared.id]
-        for batch in batches:
+        logs = log_table(shared.value)  # goes with the task: 64 MB are too much to keep in an idle worker
+        for batch in slices(batches):
             n, s, q = [], [], []
             for text in batch.column(width).to_pylist():
                 x = logs[keys(text)] if text else np.empty(0, np.float32)
@@ -151,30 +154,6 @@ def _score(shared, width: int):
     return run
 
 
-class _Shared:
-    """A broadcast and the number that it is cached by."""
-
-    def __init__(self, spark: SparkSession, value) -> None:
-        self._b = spark.sparkContext.broadcast(value)
-        self.id = self._b._jbroadcast.id()
-
-    def __reduce__(self):
-        return _restored, (self._b, self.id)
-
-
-class _Restored:
-    def __init__(self, b, id_: int) -> None:
-        self._b, self.id = b, id_
-
-    @property
-    def value(self):
-        return self._b.value
-
-
-def _restored(b, id_: int) -> _Restored:
-    return _Restored(b, id_)
-
-
 def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
     return labels.where(F.col(f"`{label}`") == 1).select(F.col(f"`{doc_id}`").alias("trusted")).where("trusted is not null").distinct()
 
@@ -192,7 +171,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     model = train(rows.join(ids, F.col("doc_id") == F.col("trusted")).select("t"))
     marked = rows.join(ids, F.col("doc_id") == F.col("trusted"), "left").select("doc_id", "lang", F.col("trusted").isNotNull().alias("trusted"), "t")
     kind = marked.schema["doc_id"].dataType.simpleString()
-    scored = marked.mapInArrow(_score(_Shared(spark, model), 3), f"doc_id {kind}, lang string, trusted boolean, n_symbols long, bits double, squares double")
+    scored = marked.mapInArrow(_score(spark.sparkContext.broadcast(model), 3), f"doc_id {kind}, lang string, trusted boolean, n_symbols long, bits double, squares double")
     scored = written(scored.withColumn("log_perplexity", F.when(F.col("n_symbols") > 0, F.col("bits") / F.col("n_symbols"))))
     fences = fences_of(scored.where("trusted"), fence)
     met = scored.join(F.broadcast(fences), F.col("lang") == F.col("l"), "left").join(F.broadcast(fences_of(scored.where("trusted").withColumn("lang", F.lit("")), fence).select(*[F.col(c).alias(f"all_{c}") for c in ("l", "low", "high", "sd")])), F.col("all_l") == "", "left")  # at most one row

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, table, whole, written
+from .common import LOWER, UPPER, slices, table, whole, written
 from .groups import Forest, components, map_groups, stars
 
 TREES, SKETCH, DEPTH = 8, 128, 2
@@ -89,7 +89,7 @@ def sketch(h: np.ndarray) -> tuple[bytes, bytes]:
 
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, digests, keys, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, size) if text else np.empty(0, np.uint64)
@@ -105,7 +105,7 @@ def _describe(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             packed = [shingles(x or "", size).tobytes() for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], [*batch.schema.names[:-1], "set"])
 
