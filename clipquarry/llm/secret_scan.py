@@ -109,15 +109,14 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     rows = tested(rows).select("uid", "doc_id", "kind", "i", (F.col("gap") + F.length("m")).alias("step"), F.length("m").alias("n"), ((F.col("kind") != 0) | (value >= MIN_VALUE)).alias("ok"), "encoding", "long", "p")
     w = Window.partitionBy("uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.repartition("uid").withColumn("end", F.sum("step").over(w)).withColumn("start", F.col("end") - F.col("n"))
-    rows = rows.where("kind is null or ok").drop("ok", "step", "n", "i")
+    # A refused match stays as a row without a kind, as its text may have no other.
+    rows = rows.withColumn("kind", F.when(F.col("ok"), F.col("kind"))).drop("ok", "step", "n", "i")
     base = F.col("kind") < len(KINDS) - 1
     order = Window.partitionBy("uid").orderBy("start", "kind")
     left = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     right = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
     free = (F.coalesce(left, F.lit(-1)) <= F.col("start")) & (F.coalesce(right, F.col("end")) >= F.col("end"))
-    rows = rows.withColumn("keep", F.col("kind").isNull() | base | (free & F.col("p").isNotNull()))
-    # A text whose only rows are refused candidates still needs one.
-    return rows.withColumn("kind", F.when(F.col("keep"), F.col("kind"))).drop("keep")
+    return rows.withColumn("kind", F.when(base | (free & F.col("p").isNotNull()), F.col("kind")))
 
 
 def discoveries(spans: DataFrame, level: float) -> DataFrame:
