@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from ..functions import kernels
 from ..functions import vectors as V
 from .tokens import pooled
 
-#: Codebooks up to this size are searched with columns; larger ones by a kernel.
+#: Codebooks up to this size are searched with columns, and projections of up to so many numbers are written out as columns; larger ones go to kernels.
 SMALL_CODEBOOK = 32
+SMALL_PROJECTION = 1024
 
 
 @dataclass(frozen=True)
@@ -59,7 +62,16 @@ class Model:
 
 def projected(tokens: DataFrame, model: Model, vec: str = "vec", name: str = "y") -> DataFrame:
     model.require("mean", "components")
-    return tokens.withColumn(name, V.project(V.doubles(F.col(vec)), model.mean, model.components))
+    if model.width * len(model.mean) <= SMALL_PROJECTION:
+        return tokens.withColumn(name, V.project(V.doubles(F.col(vec)), model.mean, model.components))
+    shared = tokens.sparkSession.sparkContext.broadcast((np.array(model.mean), np.array(model.components)))
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def project(v: pd.Series) -> pd.Series:
+        mean, components = shared.value
+        return pd.Series(list((np.stack(v.to_numpy()) - mean) @ components.T) if len(v) else [], dtype=object)
+
+    return tokens.withColumn(name, project(vec))
 
 
 def assigned(tokens: DataFrame, centroids: list[list[float]], vec: str = "y", name: str = "centroid_id") -> DataFrame:
@@ -146,9 +158,34 @@ def fit(tokens: DataFrame, width: int = 128, n_centroids: int = 32_768, seed: in
     return Model(mean, components, model.centroids, [[t[j][1 + i] for j in dims] for i in range(3)], [[v[j, i] for j in dims] for i in range(4)], explained)
 
 
+def is_small(model: Model) -> bool:
+    return len(model.centroids) <= SMALL_CODEBOOK and model.width * len(model.mean) <= SMALL_PROJECTION
+
+
+def _compress_kernel(shared):
+    """Projection, nearest centroid, residual, levels and packing of a batch of tokens by matrix products."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, components, book, bounds = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = (np.stack(batch.column(2).to_numpy(zero_copy_only=False)).astype(np.float64) - mean) @ components.T
+            ids = kernels.nearest(y, book)
+            packed = kernels.pack2((y - book[ids] > bounds[:, None, :]).sum(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int32()), pa.array([p.tobytes().hex().upper() for p in packed]), pa.array(list(y), pa.list_(pa.float64()))], ["clip_id", "token_pos", "centroid_id", "packed", "y"])
+
+    return run
+
+
 def compressed(tokens: DataFrame, model: Model) -> DataFrame:
     """One row per token: clip_id, token_pos, centroid_id, packed (hex), y."""
-    model.require("thresholds")
+    model.require("mean", "components", "centroids", "thresholds")
+    if not is_small(model):
+        shared = tokens.sparkSession.sparkContext.broadcast(tuple(np.array(x) for x in (model.mean, model.components, model.centroids, model.thresholds)))
+        rows = tokens.select("clip_id", "token_pos", "vec")
+        kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("clip_id", "token_pos")]
+        return rows.mapInArrow(_compress_kernel(shared), ", ".join([*kinds, "centroid_id int, packed string, y array<double>"]))
     bounds = F.array(*[V.literal(t) for t in model.thresholds])
     met = residuals(tokens, model).withColumn("level", V.quantise(F.col("residual"), bounds))
     return met.select("clip_id", "token_pos", "centroid_id", V.pack2(F.col("level"), model.width).alias("packed"), "y")
@@ -165,6 +202,19 @@ def clip_records(tokens: DataFrame, model: Model) -> DataFrame:
 def decompressed(rows: DataFrame, model: Model, name: str = "vec") -> DataFrame:
     """Rows with centroid_id and packed, and the vector that they stand for."""
     model.require("centroids", "levels")
+    if not is_small(model):
+        shared = rows.sparkSession.sparkContext.broadcast((np.array(model.centroids), np.array(model.levels)))
+        width = model.width
+
+        @F.pandas_udf(ArrayType(DoubleType()))
+        def back(ids: pd.Series, packed: pd.Series) -> pd.Series:
+            book, values = shared.value
+            if not len(ids):
+                return pd.Series([], dtype=object)
+            q = kernels.unpack2(np.frombuffer(bytes.fromhex("".join(packed)), np.uint8).reshape(len(ids), -1), width)
+            return pd.Series(list(book[ids.to_numpy()] + values[q, np.arange(width)]))
+
+        return rows.withColumn(name, back("centroid_id", "packed"))
     values = F.array(*[V.literal(x) for x in model.levels])
     rows = rows.withColumn("__q", V.unpack2(F.col("packed"), model.width)).withColumn("__r", V.dequantise(F.col("__q"), values))
     table = rows.sparkSession.createDataFrame(list(enumerate(model.centroids)), "centroid_id int, __c array<double>")

@@ -96,7 +96,7 @@ VIEWS = {
         (vec_id % 10 * 2)::DOUBLE AS timestamp_start, (vec_id % 10 * 2 + 1)::DOUBLE AS timestamp_end, CASE WHEN vec_id % 4 <> 0 THEN 'task_' || label END AS language_instruction,
         vec_id // 100 AS shard_id, vec_id % 100 AS shard_offset FROM embeddings""",
     "v_vectors": "SELECT vec_id AS clip_id, embedding::DOUBLE[] AS vec FROM embeddings",
-    "v_tokens": "SELECT vec_id AS clip_id, p AS token_pos, p // 2 AS r, p % 2 AS c, embedding[p * 16 + 1 : p * 16 + 16]::DOUBLE[] AS vec FROM embeddings, (SELECT unnest(range(4)) AS p)",
+    "v_tokens": "SELECT vec_id AS clip_id, p AS token_pos, p // 2 AS r, p % 2 AS c, embedding[p * 16 + 1 : p * 16 + 16]::DOUBLE[] AS vec FROM embeddings, (SELECT unnest(range(4))::INT AS p)",
     "v_dims": "SELECT clip_id, i, avg(vec[i]) AS m FROM v_tokens, (SELECT unnest(range(1, 17)) AS i) GROUP BY clip_id, i",
     "v_coarse": "SELECT clip_id, list(m ORDER BY i) AS coarse FROM v_dims GROUP BY clip_id",
     "v_traj": "SELECT 'ep/' || (vec_id // 10) AS episode_id, vec_id % 10 AS step, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 10 < 10 - (vec_id // 10) % 3",

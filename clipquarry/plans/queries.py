@@ -243,7 +243,7 @@ def task_updates(spark, sf):
     s = F.element_at(F.array(*map(F.lit, ("completed", "running", "pending", "failed"))), ((F.col("k") + 1) % 4 + 1).cast("int"))
     x = _tasks(spark, sf).withColumn("status", s)
     started = F.when(F.col("status") == "running", 100).when(F.col("status") == "pending", None).otherwise(F.col("k"))
-    return x.select("task", "status", started.cast("long").alias("started"), F.when(F.col("status") == "completed", 100).cast("int").alias("completed"), F.when(F.col("status") == "failed", F.concat(F.lit("e"), F.col("k"))).alias("error"))
+    return x.select("task", "status", started.cast("int").alias("started"), F.when(F.col("status") == "completed", 100).cast("int").alias("completed"), F.when(F.col("status") == "failed", F.concat(F.lit("e"), F.col("k"))).alias("error"))
 
 
 @query("record_sizes", "SELECT p_partkey AS id, p_size * 2 + p_size * 32 + 512 AS record_size, 32 + 100 * (p_size * 2 + p_size * 32 + 512) AS shard_size FROM part")

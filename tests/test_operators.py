@@ -148,6 +148,20 @@ def test_large_codebook_equals_small(spark, monkeypatch):
     assert [x.centroid_id for x in a] == [x.centroid_id for x in b]
 
 
+def test_kernels_compress_as_columns_do(spark, monkeypatch):
+    t = clustered(spark, 160, 4).persist()
+    m = compress.fit(t, width=8, n_centroids=8)
+    forms = []
+    for small in (10**6, 0):
+        monkeypatch.setattr(compress, "SMALL_PROJECTION", small)
+        rows = compress.compressed(t, m)
+        back = compress.decompressed(rows, m)
+        forms.append([(x.clip_id, x.token_pos, x.centroid_id, x.packed, [round(v, 6) for v in x.y], [round(v, 6) for v in x.vec]) for x in back.orderBy("clip_id", "token_pos").collect()])
+        y = compress.projected(t, m).orderBy("clip_id", "token_pos").first().y
+        assert np.allclose(y, forms[0][0][4], atol=1e-5)
+    assert forms[0] == forms[1]
+
+
 def test_allocation_is_exact(spark):
     b = spark.createDataFrame([(i, n) for i, n in enumerate([5, 1, 1, 10, 3])], "batch long, n long")
     got = [x["take"] for x in compress.allocation(b, 7).orderBy("batch").collect()]
