@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, whole, without, written
+from .common import table, whole, without, written
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def normalised(text: str) -> Column:
-    return F.regexp_replace(whole(text), SPACE, " ")
+    """The text with each run of white space as one space. The pattern meets only runs of two or more, which are few."""
+    return F.regexp_replace(F.translate(whole(text), "\t\n\x0b\x0c\r", " " * 5), " {2,}", " ")
 
 
 def digest(text: str) -> Column:
