@@ -66,36 +66,34 @@ def heavy(keys: DataFrame, counters: int) -> DataFrame:
     return counted.where(F.col("c").isNotNull() & (F.col("group_size") * counters > rows)).withColumnRenamed("c", "h")
 
 
-def _split(docs: DataFrame, text: str, doc_id: str, counters: int, keep_text: bool) -> tuple[DataFrame, DataFrame]:
-    """(hot, cold): the rows with __d, __hot and, if hot, keep_id and group_size."""
-    named = without(docs, *RESULT, "__d", "__id").withColumns({"__d": digest(text), "__id": F.col(f"`{doc_id}`")})
-    keys = written(named.select(F.col("__d").alias("d"), F.col("__id").alias("doc_id")))
+def _split(docs: DataFrame, text: str, doc_id: str, counters: int, row: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(hot, cold): d, id and, in a struct of its own, the columns of each row that are to stay; hot rows have keep_id and group_size too."""
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), digest(text).alias("d"), F.col(f"`{doc_id}`").alias("id"))
+    keys = written(named.select("d", F.col("id").alias("doc_id")))
     winners = heavy(keys, counters)
-    rows = named if keep_text else written_keys(keys, doc_id)
-    met = rows.join(F.broadcast(winners), F.col("__d") == F.col("h"), "left")
+    # Where only the id is to stay, the written keys are enough and the texts are not read again.
+    rows = named if row != [doc_id] else keys.select(F.struct(F.col("doc_id").alias(doc_id)).alias("row"), "d", F.col("doc_id").alias("id"))
+    met = rows.join(F.broadcast(winners), F.col("d") == F.col("h"), "left")
     return met.where("h is not null").drop("h"), met.where("h is null").drop("h", "keep_id", "group_size")
 
 
-def written_keys(keys: DataFrame, doc_id: str) -> DataFrame:
-    return keys.select(F.col("doc_id").alias(doc_id), F.col("d").alias("__d"), F.col("doc_id").alias("__id"))
-
-
 def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", counters: int = 1024, keep_text: bool = True) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256; keep_text=False returns doc_id and these only, and shuffles no text."""
-    hot, cold = _split(docs, text, doc_id, counters, keep_text)
-    w = Window.partitionBy("__d")
-    cold = cold.withColumns({"keep_id": F.min("__id").over(w), "group_size": F.count("*").over(w)})
+    row = without(docs, *RESULT).columns if keep_text else [doc_id]
+    hot, cold = _split(docs, text, doc_id, counters, row)
+    w = Window.partitionBy("d")
+    cold = cold.withColumns({"keep_id": F.min("id").over(w), "group_size": F.count("*").over(w)})
     out = hot.unionByName(cold)
-    return out.withColumns({"kept": F.col("__id").eqNullSafe(F.col("keep_id")), "text_sha256": F.lower(F.hex("__d"))}).drop("__d", "__id")
+    return out.select("row.*", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("d")).alias("text_sha256"))
 
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", counters: int = 1024) -> DataFrame:
     """One row of each group of equal texts, with the columns of docs."""
-    hot, cold = _split(docs, text, doc_id, counters, True)
-    w = Window.partitionBy("__d").orderBy(F.col("__id").asc_nulls_last())
-    cold = cold.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    hot = hot.where(F.col("__id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["__d"]).drop("keep_id", "group_size")
-    return hot.unionByName(cold).drop("__d", "__id")
+    hot, cold = _split(docs, text, doc_id, counters, docs.columns)
+    w = Window.partitionBy("d").orderBy(F.col("id").asc_nulls_last())
+    cold = cold.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    hot = hot.where(F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["d"]).drop("keep_id", "group_size")
+    return hot.unionByName(cold).select("row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
