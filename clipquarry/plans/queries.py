@@ -550,13 +550,13 @@ def fitted_compressor(spark, sf):
     return compress.fidelity(fx.tokens(spark, sf), m).agg(r6(F.avg("cosine")).alias("cosine"), r6(F.lit(sum(m.explained))).alias("explained"))
 
 
-@query("sql_functions", "SELECT clip_id, round(list_cosine_similarity(vec, vec) * 1.0, 6) AS self_score, 0.0::DOUBLE AS self_distance FROM v_vectors WHERE clip_id < 20")
+@query("sql_functions", "SELECT clip_id, round(list_cosine_similarity(vec, vec) * 1.0, 6) AS self_score, 0.0::DOUBLE AS self_distance FROM v_vectors")
 def sql_functions(spark, sf):
     """Registered functions, called from SQL: the extension points of §2.11."""
     from ..functions.registered import register
 
     register(spark)
-    rows = fx.vectors(spark, sf).where("clip_id < 20").select("clip_id", F.array("vec").alias("m"))
+    rows = fx.vectors(spark, sf).select("clip_id", F.array("vec").alias("m"))
     return rows.select("clip_id", r6(F.call_function("maxsim", F.col("m"), F.col("m"))).alias("self_score"), F.abs(r6(F.call_function("dtw_distance", F.col("m"), F.col("m"), F.lit(0.2)))).alias("self_distance"))
 
 
