@@ -103,12 +103,11 @@ def resampled(frames: DataFrame, key: str, spec: ClipSpec) -> DataFrame:
     both = timed.select(key, "first_frame", "ts", F.lit(0).alias("side"), "frame", "arrival_seq", none.alias("target")).unionByName(
         grid.select(key, "first_frame", (F.col("target") / F.lit(spec.target_fps)).alias("ts"), F.lit(1).alias("side"), none.alias("frame"), none.alias("arrival_seq"), "target")
     )
-    order = Window.partitionBy(key).orderBy("ts", "side", "frame", "arrival_seq", "target")
+    columns = ("ts", "side", "frame", "arrival_seq", "target")
     seen = F.when(F.col("side") == 0, chosen)
-    both = both.withColumns({
-        "before": F.last(seen, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "after": F.first(seen, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-    })
+    # What follows is what precedes in the opposite order: a frame that only grows takes one pass, one that shrinks a pass per row.
+    running = lambda *order: F.last(seen, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"before": running(*columns), "after": running(*[F.desc(c) for c in columns])})
     nearer = F.col("after").isNotNull() & (F.abs(F.col("after.ts") - F.col("ts")) < F.abs(F.col("before.ts") - F.col("ts")))
     pick = F.when(nearer, F.col("after")).otherwise(F.col("before"))
     return both.where("side = 1").select(key, "target", "first_frame", pick.alias("x")).select(key, "target", "first_frame", "x.frame", "x.arrival_seq")

@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None, make: Callable[[Path], Orchestrator] | N
         model = load(c.serving.encoder)()
         length = c.datasets[0].clip_length
         engine = Engine(work.spark, c.compression, str(c.index.output_path), lambda image: model([[image] * length])[0], Grid(), c.index.probes)
-        serve(Service(engine, c.serving.max_concurrent_queries), c.serving)
+        serve(Service(engine, c.serving.places, c.serving.model_id, c.serving.device), c.serving)
     return 0
 
 

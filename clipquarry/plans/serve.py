@@ -41,6 +41,12 @@ class Engine:
         middle = self.grid.middle * self.grid.side**2
         return y[middle : middle + self.grid.side**2].tolist(), y.mean(0).tolist()
 
+    def frame_vectors(self, images: list[bytes]) -> list[list[float]]:
+        """The coarse vector of each image: a trajectory made of pictures."""
+        if not images:
+            raise ValueError("a sequence has at least one image")
+        return [self.query(x)[1] for x in images]
+
     def candidates(self, image: bytes, top_k: int | None, coarse_k: int, box: Box | None = None) -> DataFrame:
         tokens, coarse = self.query(image)
         if box is not None:
@@ -73,8 +79,8 @@ class Engine:
 class Service:
     """The engine behind a gate: searches that encode images wait for a place; trajectory and episode queries do not."""
 
-    def __init__(self, engine, max_concurrent: int | None = None) -> None:
-        self.engine = engine
+    def __init__(self, engine, max_concurrent: int | None = None, model_id: str = "", device: str = "cpu") -> None:
+        self.engine, self.model_id, self.device = engine, model_id, device
         self.limit = max_concurrent or max(1, os.cpu_count() or 1)
         if self.limit <= 0:
             raise ValueError("concurrent queries are positive")
@@ -101,7 +107,7 @@ class Service:
         return rows(self.engine.episode(episode_id))[0]
 
     def health(self) -> dict:
-        return {"status": "ok", "clips": self.engine.clips, "uptime_seconds": round(time.time() - self._began, 3), "max_concurrent_queries": self.limit}
+        return {"status": "ok", "clips": self.engine.clips, "model_id": self.model_id, "device": self.device, "uptime_seconds": round(time.time() - self._began, 3), "max_concurrent_queries": self.limit}
 
 
 def rows(result) -> list[dict]:

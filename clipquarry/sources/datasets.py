@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
@@ -118,9 +119,18 @@ class Serving:
     host: str = "127.0.0.1"
     port: int = 8000
     encoder: str = ""
+    model_id: str = ""
+    device: str = "cpu"
     max_concurrent_queries: int | None = None
 
+    @property
+    def places(self) -> int:
+        """Queries that may encode at once: as set, or one on a GPU and one per core elsewhere."""
+        return self.max_concurrent_queries or (1 if self.device == "cuda" else max(1, os.cpu_count() or 1))
+
     def __post_init__(self) -> None:
+        if self.device not in ("cpu", "cuda"):
+            raise ValueError("the device is cpu or cuda")
         if not 1 <= self.port <= 65_535 or (self.max_concurrent_queries is not None and self.max_concurrent_queries <= 0):
             raise ValueError("the port lies in 1 to 65535, and concurrent queries are positive")
 

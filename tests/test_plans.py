@@ -87,6 +87,9 @@ def test_whole_pipeline(spark, tmp_path, capsys, monkeypatch):
     assert engine.search_transition(image, image, 10, 30.0).count() > 0
     assert engine.search_trajectory("hub/arm_1", 3).count() == 3
     assert engine.episode("hub/arm_1").first().clip_count == 7
+    assert np.shape(engine.frame_vectors([image, bytes([20])])) == (2, 8)
+    with pytest.raises(ValueError):
+        engine.frame_vectors([])
     with pytest.raises(KeyError):
         engine.episode("hub/none")
     with pytest.raises(KeyError):
