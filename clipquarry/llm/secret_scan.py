@@ -112,9 +112,10 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     # A refused match stays as a row without a kind, as its text may have no other.
     rows = rows.withColumn("kind", F.when(F.col("ok"), F.col("kind"))).drop("ok", "step", "n", "i")
     base = F.col("kind") < len(KINDS) - 1
-    order = Window.partitionBy("uid").orderBy("start", "kind")
-    left = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # The next base span is the last one in the opposite order: frames that only grow take one pass.
+    running = lambda *order: Window.partitionBy("uid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    left = F.max(F.when(base, F.col("end"))).over(running("start", "kind"))
+    right = F.min(F.when(base, F.col("start"))).over(running(F.desc("start"), F.desc("kind")))
     free = (F.coalesce(left, F.lit(-1)) <= F.col("start")) & (F.coalesce(right, F.col("end")) >= F.col("end"))
     return rows.withColumn("kind", F.when(base | (free & F.col("p").isNotNull()), F.col("kind")))
 
