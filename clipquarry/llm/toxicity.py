@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole, written
+from .common import slices, table, whole, written
 
 #: Labelled documents of either class that the fit uses, at most.
 SAMPLE = 4000
@@ -44,12 +44,12 @@ def features(text: str) -> np.ndarray:
     """Hashes of the distinct words and stems of a text."""
     words = set(_WORD.findall(text.lower()))
     words |= {"^" + w[:STEM] for w in words if len(w) > STEM}
-    return np.unique(np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)))
+    return np.unique(np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = pa.array([features(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+    for batch in slices(batches):
+        x = pa.array([features(t or "").tobytes() for t in batch.column(1).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), x], ["y", "x"])
 
 
@@ -60,8 +60,9 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> list[tuple[int, np.
     ids = marks.where("y = 0").orderBy("o", "id").limit(size).unionByName(marks.where("y = 1").orderBy("o", "id").limit(size))
     ids = written(ids.select("y", "id").distinct())  # at most 2 * size rows
     met = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select(F.col("y").cast("int"), "t")
-    got = met.mapInArrow(_extract, "y int, x array<long>").toPandas()
-    return sorted(((int(y), np.asarray(x, np.int64)) for y, x in zip(got["y"], got["x"], strict=True)), key=lambda p: (p[0], p[1].tobytes()))
+    got = met.mapInArrow(_extract, "y int, x binary").toArrow()
+    rows = sorted((y, bytes(x)) for y, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    return [(y, np.frombuffer(x, np.uint32)) for y, x in rows]
 
 
 def fit(rows: list[tuple[int, np.ndarray]], steps: int = 1500, penalty: float = 1e-4) -> dict:
@@ -70,13 +71,16 @@ def fit(rows: list[tuple[int, np.ndarray]], steps: int = 1500, penalty: float =
     none = {"features": np.empty(0, np.int64), "weights": np.empty(0), "thresholds": np.full(GRADES, np.inf)}
     if not toxic.any():
         return none
-    vocabulary, flat = np.unique(np.concatenate([x for _, x in rows]), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(x) for _, x in rows])
-    there = np.bincount(flat, toxic[owner], len(vocabulary))
-    else_ = np.bincount(flat, ~toxic[owner], len(vocabulary))
     nt, nc = toxic.sum(), (~toxic).sum()
+    # Only what enough toxic documents have can be telling; the rest of the sample is cut down to that at once.
+    vocabulary, there = np.unique(np.concatenate([x for y, x in rows if y]), return_counts=True)
+    often = there >= max(LEAST, SUPPORT * nt)
+    vocabulary, there = vocabulary[often], there[often]
+    found = [np.flatnonzero(np.isin(vocabulary, x, assume_unique=True)) for _, x in rows]
+    flat, owner = np.concatenate(found), np.repeat(np.arange(len(rows)), [len(x) for x in found])
+    else_ = np.bincount(flat, ~toxic[owner], len(vocabulary))
     odds = ((there + 0.5) / (nt - there + 0.5)) / ((else_ + 0.5) / (nc - else_ + 0.5))
-    telling = (there >= max(LEAST, SUPPORT * nt)) & (odds >= ODDS)
+    telling = odds >= ODDS
     if not telling.any():
         return none
     number = np.cumsum(telling) - 1
@@ -98,7 +102,7 @@ def fit(rows: list[tuple[int, np.ndarray]], steps: int = 1500, penalty: float =
         gw, gt = gw + dw * dw, gt + dt * dt
         w -= 0.5 * dw / np.sqrt(gw + 1e-12)
         t = np.maximum.accumulate(t - 0.5 * dt / np.sqrt(gt + 1e-12) + np.arange(GRADES) * 1e-9)
-    return {"features": vocabulary[telling], "weights": w, "thresholds": t}
+    return {"features": vocabulary[telling].astype(np.int64), "weights": w, "thresholds": t}
 
 
 def severity(model: dict, x: np.ndarray) -> np.ndarray:
@@ -122,7 +126,7 @@ def _score(shared):
                 cache[w] = found
             return found
 
-        for batch in batches:
+        for batch in slices(batches, 2048):
             ps = []
             for text in batch.column(1).to_pylist():
                 x = {h for w in set(_WORD.findall((text or "").lower())) for h in (cache[w] if w in cache else hashes(w))}
