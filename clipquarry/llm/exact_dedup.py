@@ -25,8 +25,8 @@ RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def normalised(text: str) -> Column:
-    """The text with each run of white space as one space. The pattern meets only runs of two or more, which are few."""
-    return F.regexp_replace(F.translate(whole(text), "\t\n\x0b\x0c\r", " " * 5), " {2,}", " ")
+    """The text with each run of white space as one space. Single spaces, nearly all there is, are left alone."""
+    return F.regexp_replace(whole(text), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
 def digest(text: str) -> Column:
