@@ -53,8 +53,8 @@ def figures(docs: DataFrame, text: str, doc_id: str, host: str) -> DataFrame:
     seen = seen.select(
         "doc_id", "host",
         F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0).alias("lines"),
+        (F.length(t) - F.length(F.regexp_replace(t, f"[{SYMBOLS}]", ""))).cast("long").alias("n_symbols"),
+        F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.filter(F.split(t, SPACE, -1), lambda x: x != "").alias("words"),
     )
     counted = with_repeat_words(seen, "words").select(
