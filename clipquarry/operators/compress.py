@@ -250,7 +250,7 @@ def sampled(rows: DataFrame, size: int, seed: int = 0, batch: str = "batch", key
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(batch).cast("string"), F.col(key).cast("string")))
     ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(batch).orderBy(order, key)))
     take = shares.select(F.col("batch").alias("__b"), "take")
-    return ranked.join(F.broadcast(take), F.col(batch) == F.col("__b")).where(F.col("__n") <= F.col("take")).drop("__n", "__b", "take")  # one row per batch
+    return ranked.join(take, F.col(batch) == F.col("__b")).where(F.col("__n") <= F.col("take")).drop("__n", "__b", "take")
 
 
 def uniform_sample(rows: DataFrame, size: int, seed: int = 0, key: str = "clip_id") -> DataFrame:

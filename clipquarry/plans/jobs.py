@@ -21,6 +21,7 @@ from ..operators import tokens as tok
 from ..sources import shards
 from ..sources.datasets import Compression, Dataset, Extraction, IndexSettings, Pipeline, read_frames
 from ..sources.images import load
+from ..work import saved
 
 CLIPS_PER_SHARD = 100
 
@@ -88,9 +89,10 @@ def run_extraction(spark: SparkSession, datasets: list[Dataset], settings: Extra
     if done is not None and have is not None:
         full = done.groupBy("batch_id").agg(F.count("*").alias("n")).join(have.select("batch_id").distinct(), "batch_id")
         todo = wanted.join(full, ["batch_id", "n"], "left_anti")
-    todo = [r["batch_id"] for r in todo.select("batch_id").collect()]  # one number per batch still to do
-    if todo:
-        left = catalog.where(F.col("batch_id").isin(todo))
+    # Saved, as what is written next is where the finished batches were read.
+    todo = saved(todo.select("batch_id"))
+    if not todo.isEmpty():
+        left = catalog.join(todo, "batch_id", "left_semi")
         # The clips to do are chosen before any image is encoded.
         images = slots.join(left.select("clip_index"), "clip_index", "left_semi")
         made = encoded(images, settings.encoder, settings.batch_size).withColumn("batch_id", batch)
@@ -121,16 +123,16 @@ def run_compression(spark: SparkSession, settings: Compression) -> int:
     model = compress.Model.load(spark, str(settings.model_dir))
     done = read_if_there(spark, settings.output_dir / "records")
     todo = batches if done is None else batches.join(done.groupBy(F.col("shard_id").alias("batch_id")).agg(F.count("*").alias("clips")), ["batch_id", "clips"], "left_anti")
-    todo = [r["batch_id"] for r in todo.select("batch_id").collect()]  # one number per batch still to do
-    if todo:
-        rows = tokens.where(F.col("batch_id").isin(todo)).withColumnRenamed("clip_index", "clip_id")
+    todo = saved(todo.select("batch_id"))
+    if not todo.isEmpty():
+        rows = tokens.join(todo, "batch_id", "left_semi").withColumnRenamed("clip_index", "clip_id")
         known = rows.select("clip_id", F.col("batch_id").alias("shard_id")).distinct()
         first = batches.select(F.col("batch_id").alias("shard_id"), "first_clip")
-        made = compress.clip_records(rows, model).join(known, "clip_id").join(F.broadcast(first), "shard_id")  # one row per batch
+        made = compress.clip_records(rows, model).join(known, "clip_id").join(first, "shard_id")
         made = made.select("clip_id", (F.col("clip_id") - F.col("first_clip")).alias("shard_offset"), "centroid_ids", "residuals", F.col("coarse_vector").cast("array<float>").alias("coarse_vector"), "shard_id")
         made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(str(settings.output_dir / "records"))
         shards.write(made, str(settings.shard_dir))
-    metadata = spark.read.parquet(str(settings.raw_dir / "metadata")).join(F.broadcast(batches.select("batch_id", "first_clip")), "batch_id")  # one row per batch
+    metadata = spark.read.parquet(str(settings.raw_dir / "metadata")).join(batches.select("batch_id", "first_clip"), "batch_id")
     catalog = metadata.withColumn("shard_offset", F.col("clip_index") - F.col("first_clip")).withColumnRenamed("batch_id", "shard_id").withColumn("clip_id", F.col("clip_index")).drop("first_clip")
     catalog.write.mode("overwrite").parquet(str(settings.catalog_path))
     last = batches.agg(F.max("batch_id")).first()[0]
