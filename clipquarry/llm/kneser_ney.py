@@ -173,7 +173,10 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     kind = marked.schema["doc_id"].dataType.simpleString()
     scored = marked.mapInArrow(_score(spark.sparkContext.broadcast(model), 3), f"doc_id {kind}, lang string, trusted boolean, n_symbols long, bits double, squares double")
     scored = written(scored.withColumn("log_perplexity", F.when(F.col("n_symbols") > 0, F.col("bits") / F.col("n_symbols"))))
-    fences = fences_of(scored.where("trusted"), fence)
+    fences = written(fences_of(scored.where("trusted"), fence))
+    # A few languages hold nearly all rows, so a shuffle by language would be uneven.
+    if fences.count() <= MAX_BROADCAST:
+        fences = F.broadcast(fences)
     met = scored.join(fences, F.col("lang") == F.col("l"), "left").join(F.broadcast(fences_of(scored.where("trusted").withColumn("lang", F.lit("")), fence).select(*[F.col(c).alias(f"all_{c}") for c in ("l", "low", "high", "sd")])), F.col("all_l") == "", "left")  # at most one row
     slack = F.coalesce("sd", "all_sd") * SPREAD / F.sqrt(F.greatest("n_symbols", F.lit(1)))
     met = met.withColumns({"low": F.coalesce("low", "all_low") - slack, "high": F.coalesce("high", "all_high") + slack})
