@@ -31,7 +31,8 @@ _KEYS = "|".join(map(either_case, ("password", "passwd", "secret", "token", "api
 ASSIGN = rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: An equals sign is padding at the end, so that of name=value the value is a candidate of its own.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,6}"
 #: In the order in which spans at one place are listed. Maximal runs of the base kinds that are long enough are what the unbounded patterns match.
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": CANDIDATE}
 MIN_VALUE = 12

@@ -108,6 +108,19 @@ def test_p_values_equal_plain_and_random_strings_are_found(docs):
     assert secret_scan.scan(docs([])).count() == 0
 
 
+def test_values_with_any_name_are_found(docs):
+    r = np.random.default_rng(3)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    names = ["AWS_SECRET_ACCESS_KEY=", "client_key=", "sig=", "auth=", "https://a.example/x?key=", 'data-key="', "longNameWith2Digits4ItsValue="]
+    rows, want = [], {}
+    for i in range(42):
+        name, value = names[i % len(names)], "".join(r.choice(alphabet, 40)) + "=" * (i % 3)
+        rows.append((i, f"see {name}{value} there"))
+        want[i] = (4 + len(name), 4 + len(name) + len(value))
+    got = {x.doc_id: [(s.start, s.end) for s in x.spans if s.kind == "random"] for x in secret_scan.scan(docs(rows)).collect()}
+    assert all(want[i] in got[i] for i in want)
+
+
 # URL rules
 
 
