@@ -155,6 +155,16 @@ def test_mined_rules_equal_plain(spark):
     assert got == {i: "block" if "pills" in u and "/buy/" in u else "allow" for i, u in enumerate(urls)}
 
 
+def test_mined_rules_where_most_urls_are_bad(spark):
+    r = np.random.default_rng(1)
+    rows = [(f"http://{('pills', 'shop', 'news')[i % 3]}.example.org/{r.choice(['buy', 'read', 'win'])}/{i}", i % 3 == 0 or bool(r.random() < 0.4)) for i in range(900)]
+    assert 0.55 < np.mean([b for _, b in rows]) < 0.65
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b)) for i, (_, b) in enumerate(rows)], "doc_id long, quality int")
+    got = {x.page_id: x.verdict for x in url_rules.judge(pages, labels, support=0.02).collect()}
+    assert got == {i: "block" if "pills" in u else "allow" for i, (u, _) in enumerate(rows)}
+
+
 # Quality
 
 
