@@ -2,65 +2,33 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..work import delete, forget, passing, work_dir
+from ..work import saved as written
+
+__all__ = ["delete", "few", "forget", "lower_ascii", "passing", "slices", "table", "whole", "without", "work_dir", "written"]
+
 #: White space and words as the queries define them (ASCII white space only).
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of a table that is broadcast, at most, as few() counts them; beyond, rows meet by shuffle.
+MAX_BROADCAST = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local runs and tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="work-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _quiet_delete(spark: SparkSession, path: str) -> None:
-    try:
-        delete(spark, path)
-    except Exception:  # the session has ended before the interpreter
-        pass
-
-
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and returns a reader of it.
-
-    That cuts the lineage, and a lost executor costs a re-read, never a recomputation.
-    The table goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/work/{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    atexit.register(_quiet_delete, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._work_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table that written() made, once nothing reads it any more."""
-    if path := getattr(df, "_work_path", None):
-        delete(df.sparkSession, path)
+def few(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """A written table, broadcast if its bytes (values, and 16 a row) are within the limit."""
+    wide = {"string": F.octet_length, "binary": F.octet_length}
+    of = lambda f: wide[f.dataType.typeName()](F.col(f"`{f.name}`")) if f.dataType.typeName() in wide else F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))) if f.dataType.typeName() in ("array", "map", "struct") else F.lit(8)
+    row = sum((F.coalesce(of(f), F.lit(0)) for f in df.schema), F.lit(16)).cast("long")
+    size = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if size <= (MAX_BROADCAST if limit is None else limit) else df
 
 
 def slices(batches, rows: int = 512):

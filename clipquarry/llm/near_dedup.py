@@ -2,10 +2,11 @@
 
 Documents with equal shingle sets become one class first, so copies cost nothing further. Each class
 has TREES minwise tokens that choose its nodes in as many independent trees, and a sketch of 128 more, a byte
-each. A node that is too large branches: two of its classes' minwise tokens, picked by the node, choose the
+each. A node that is too large branches, again and again: two of its classes' minwise tokens, picked by the node, choose the
 children, so a linked pair parts in a branch only if it differs in both. Small nodes are compared exhaustively by
 sketch. A pair at the threshold meets in some tree with probability 1 - (1 - 0.85) ** 8 or better.
-A node still large after DEPTH branchings is cut into blocks, and all pairs of blocks are compared: slower, but whole.
+A large node that branching no longer parts is full of classes that are alike. It is cut into blocks, of which each is first
+compared with the next one only; where that does not connect the whole node, all pairs of blocks are compared: slower, but whole.
 
 Pairs that may be links make clusters, a few per cent of all classes; only for these the full sets are
 made again and shuffled, each once, and inside a cluster links are confirmed exactly on full sets, skipping
@@ -14,8 +15,8 @@ alone, and the others only look at nodes that its clusters do not hold already.
 
 Defined results: a null text, or one without words, has the empty set and is linked with nothing; a text with fewer
 words than a shingle has its whole sequence as one; rows without doc_id take no part unless their set
-equals another's, and are kept; rows that share a doc_id count as one document and take its smallest set
-class; an empty table gives an empty result.
+equals another's, and are kept; rows that share a doc_id count as one document, which all their texts link
+(a row of it without words stays alone); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, slices, table, whole, written
+from .common import LOWER, UPPER, few, slices, table, whole, written
 from .groups import Forest, components, map_groups, stars
 
-TREES, SKETCH, DEPTH = 8, 128, 2
+TREES, SKETCH = 8, 128
+#: A child with a larger share of its parent's classes does not branch again.
+PARTED = 0.7
 #: Classes in a node that is compared in one task, and shingles in one that is confirmed there, at most (about).
 NODE, NODE_SHINGLES = 4096, 8_000_000
-#: Rejected or linked ids that are broadcast, at most; beyond, they are joined by shuffle.
-MAX_BROADCAST = 2_000_000
 #: Standard errors by which a sketch may fall short of the threshold.
 SLACK = 4.5
 
@@ -87,6 +88,10 @@ def sketch(h: np.ndarray) -> tuple[bytes, bytes]:
     return keys.tobytes(), ((least * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
+def digest(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -95,7 +100,7 @@ def _describe(size: int):
                 h = shingles(text, size) if text else np.empty(0, np.uint64)
                 n.append(len(h))
                 k, s = sketch(h) if len(h) else (None, None)
-                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+                digests.append(digest(h) if len(h) else None)
                 keys.append(np.frombuffer(k, np.int64) if k else None)
                 sketches.append(s)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n", "digest", "keys", "sketch"])
@@ -104,21 +109,30 @@ def _describe(size: int):
 
 
 def _sets(size: int):
+    """(..., digest, t) -> (..., set): the sets of texts that have the digest asked for; a doc_id may stand for other texts too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            packed = [shingles(x or "", size).tobytes() for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], [*batch.schema.names[:-1], "set"])
+            width = batch.num_columns - 2
+            sets = [shingles(x or "", size) for x in batch.column(width + 1).to_pylist()]
+            at = pa.array([i for i, (h, d) in enumerate(zip(sets, batch.column(width).to_pylist(), strict=True)) if digest(h) == d], pa.int64())
+            packed = pa.array([sets[i].tobytes() for i in at.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:width]), packed], [*batch.schema.names[:width], "set"])
 
     return run
 
 
 def _near(group: pa.Table, floor: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each member, the later ones that may be linked to it by sketch and size."""
+    """Of each member, the later ones that may be linked to it by sketch and size; those of one cluster, where it is given, are connected already."""
     n = group.column("n").to_numpy()
     s = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    cluster = group.column("cluster").to_numpy() if "cluster" in group.column_names else None
     need = int(np.ceil(floor * SKETCH))
     for i in range(len(n) - 1):
-        fits = np.flatnonzero((100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))) + i + 1
+        ok = 100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :])
+        if cluster is not None:
+            ok &= cluster[i + 1 :] != cluster[i]
+        fits = np.flatnonzero(ok) + i + 1
         if len(fits):
             yield i, fits[np.count_nonzero(s[fits] == s[i], axis=1) >= need]
 
@@ -137,71 +151,105 @@ def _candidates(floor: float, percent: int):
 
 
 def _confirmed(floor: float, percent: int):
-    """For map_groups: stars of the classes in a cluster that are linked on full sets, directly or by others.
-
-    Members with the most likely links come first, so that most later pairs are connected already.
-    """
+    """For map_groups: stars of the classes in a cluster that are linked on full sets, directly or by others. Pairs that are connected already are skipped."""
 
     def run(group: pa.Table) -> dict[str, np.ndarray]:
         sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
-        near: list[list[int]] = [[] for _ in sets]
+        forest, parts = Forest(len(sets)), len(sets)
         for i, found in _near(group, floor, percent):
-            near[i] += found.tolist()
             for j in found.tolist():
-                near[j].append(i)
-        forest = Forest(len(sets))
-        for i in sorted(range(len(sets)), key=lambda i: -len(near[i])):
-            for j in near[i]:
                 if forest.find(i) != forest.find(j):
                     a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
                     at = np.searchsorted(b, a)
                     at[at == len(b)] = 0
                     both = int(np.count_nonzero(b[at] == a))
                     if 100 * both >= percent * (len(a) + len(b) - both):
-                        forest.join(i, j)
+                        parts -= forest.join(i, j)
+            if parts == 1:
+                break
         return stars(group.column("cid").to_numpy(), forest)
 
     return run
 
 
-def _grown(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, cid) -> the same for nodes small enough to compare: large ones branch, and at last are cut into pairs of blocks."""
-    leaves = None
-    for depth in range(DEPTH + 1):
+def _grown(nodes: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, cid) -> (node, cid) of nodes small enough to compare, and (node, cid, size) of large ones that branching no longer parts, if any."""
+    nodes = nodes.withColumn("was", F.lit(None).cast("long"))
+    leaves = stuck = None
+    depth = 0
+    while True:
         sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         met = written(nodes.join(sizes, "node"))
         small = met.where(F.col("size") <= NODE).select("node", "cid")
         leaves = small if leaves is None else leaves.unionByName(small)
         large = met.where(F.col("size") > NODE)
         if large.isEmpty():
-            return leaves
-        if depth < DEPTH:
-            at = lambda b: F.pmod(F.xxhash64("node", F.lit(depth), F.lit(b)), F.lit(SKETCH)).cast("int")
-            with_sketch = large.join(classes.select("cid", "sketch"), "cid")
-            child = lambda b: F.xxhash64("node", at(b), F.substring(F.col("sketch"), at(b) + 1, F.lit(1)))
-            nodes = with_sketch.select("cid", F.explode(F.array_distinct(F.array(child(0), child(1)))).alias("node")).select("node", "cid")
-    return leaves.unionByName(_blocks(large.withColumn("parts", F.ceil(F.col("size") / (NODE // 2)).cast("long")), "node").select("node", "cid"))
-
-
-def _blocks(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with parts > 1, once for each pair of blocks that holds theirs; key becomes the pair's."""
+            return leaves, stuck
+        alike = F.coalesce(F.col("size") > PARTED * F.col("was"), F.lit(False))
+        stay = large.where(alike).select("node", "cid", "size")
+        stuck = stay if stuck is None else stuck.unionByName(stay)
+        at = lambda b: F.pmod(F.xxhash64("node", F.lit(depth), F.lit(b)), F.lit(SKETCH)).cast("int")  # noqa: B023, E731
+        with_sketch = large.where(~alike).join(classes.select("cid", "sketch"), "cid")
+        child = lambda b: F.xxhash64("node", at(b), F.substring(F.col("sketch"), at(b) + 1, F.lit(1)))  # noqa: B023, E731
+        nodes = with_sketch.select("cid", F.col("size").alias("was"), F.explode(F.array_distinct(F.array(child(0), child(1)))).alias("node")).select("node", "cid", "was")
+        depth += 1
+
+
+def _blocks(rows: DataFrame, key: str, ring: bool = False) -> DataFrame:
+    """Rows with parts > 1, once for each pair of blocks that holds theirs (in a ring, for the two with a neighbour); key becomes the pair's."""
     mine = F.pmod(F.xxhash64("cid"), F.col("parts"))
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    others = F.array_distinct(F.array(F.pmod(F.col("mine") + 1, F.col("parts")), F.pmod(F.col("mine") - 1 + F.col("parts"), F.col("parts")))) if ring else F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
     return rows.withColumn(key, F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other"))).drop("mine", "other")
 
 
+def _linked(nodes: DataFrame, classes: DataFrame, floor: float, percent: int) -> DataFrame:
+    """(node, cid) -> (a, b): stars of classes that may be linked."""
+
+    def compare(leaves: DataFrame) -> DataFrame:
+        full = leaves.join(classes.select("cid", "n", "sketch"), "cid")
+        return map_groups(full.select("node", *[c for c in full.columns if c != "node"]), "node", _candidates(floor, percent), "a long, b long")
+
+    leaves, stuck = _grown(nodes, classes)
+    found = written(compare(leaves))
+    if stuck is None or stuck.isEmpty():
+        return found
+    stuck = stuck.withColumn("parts", F.ceil(F.col("size") / (NODE // 2)).cast("long"))
+    found = found.unionByName(written(compare(_blocks(stuck, "node", ring=True).select("node", "cid"))))
+    known = components(found).withColumnsRenamed({"id": "cid", "component": "cluster"})
+    stuck = written(stuck.join(known, "cid", "left").withColumn("cluster", F.coalesce("cluster", "cid")))
+    open_ = stuck.groupBy("node").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("node")
+    return found.unionByName(written(compare(_blocks(stuck.join(open_, "node"), "node").select("node", "cid", "cluster"))))
+
+
 def _clusters(classes: DataFrame, floor: float, percent: int) -> DataFrame:
     """(id, component) of the classes that may be linked."""
-    schema = "a long, b long"
     tree = lambda at: classes.select(F.explode(at).alias("node"), "cid")
-    compare = lambda leaves: map_groups(leaves.join(classes.select("cid", "n", "sketch"), "cid").select("node", "cid", "n", "sketch"), "node", _candidates(floor, percent), schema)
-    first = written(compare(_grown(tree(F.slice("keys", 1, 1)), classes)))
+    first = _linked(tree(F.slice("keys", 1, 1)), classes, floor, percent)
     known = components(first).withColumnsRenamed({"id": "cid", "component": "cluster"})
     others = tree(F.slice("keys", 2, TREES)).join(known, "cid", "left").withColumn("cluster", F.coalesce("cluster", "cid"))
     # A node inside one cluster has nothing to add.
     open_ = others.groupBy("node").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("node")
-    rest = written(compare(_grown(others.join(open_, "node").select("node", "cid"), classes)))
-    return components(first.unionByName(rest))
+    return components(first.unionByName(_linked(others.join(open_, "node").select("node", "cid"), classes, floor, percent)))
+
+
+def _classes(described: DataFrame) -> DataFrame:
+    """(cid, rep, digest, n, keys, sketch): one row per different set, under a number of its own; rep is the smallest doc_id that has it."""
+    with_id = described.where("n > 0 and doc_id is not null")
+    least = with_id.groupBy(F.col("digest").alias("d")).agg(F.min("doc_id").alias("rep"))
+    # No id is below the least one: the rows meet by digest alone, and stay dealt by it.
+    first = with_id.join(least, (F.col("digest") == F.col("d")) & (F.col("doc_id") <= F.col("rep"))).dropDuplicates(["digest"])
+    return first.select(F.monotonically_increasing_id().alias("cid"), "rep", "digest", "n", "keys", "sketch")
+
+
+def _same_id(described: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): stars of the classes that one doc_id stands for."""
+    texts = described.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y"))
+    many = few(written(texts.where("x <> y").select(F.col("doc_id").alias("m"))))
+    asked = described.where("n > 0").join(many, F.col("doc_id") == F.col("m")).select("m", "digest").distinct()
+    held = written(asked.join(classes.select(F.col("digest").alias("d"), "cid"), F.col("digest") == F.col("d")).select("m", "cid"))
+    least = held.groupBy(F.col("m").alias("t")).agg(F.min("cid").alias("a"))
+    return held.join(least, F.col("m") == F.col("t")).where("a <> cid").select("a", F.col("cid").alias("b"))
 
 
 def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
@@ -213,22 +261,22 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     floor = share - SLACK * (share * (1 - share) / SKETCH) ** 0.5
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), whole(text).alias("t"))
     described = written(rows.mapInArrow(_describe(size), "doc_id long, n long, digest binary, keys array<long>, sketch binary"))
-    least = described.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"))
-    known = described.where("n > 0").join(least.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("cid")))
-    classes = written(known.select("cid", "digest", "n", "keys", "sketch").dropDuplicates(["cid"]))
+    classes = written(_classes(described))
     clusters = written(_clusters(classes, floor, percent))
     weights = clusters.join(classes.select(F.col("cid").alias("id"), "n"), "id").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("sum"))
     parts = F.ceil(F.greatest(F.col("size") / (NODE // 2), F.col("sum") / (NODE_SHINGLES // 2))).cast("long")
     asked = clusters.join(weights, "component").select("id", "component", F.when((F.col("size") <= NODE) & (F.col("sum") <= NODE_SHINGLES), 1).otherwise(parts).alias("parts"))
-    asked = written(asked)
-    if asked.count() <= MAX_BROADCAST:
-        asked = F.broadcast(asked)
-    sets = rows.join(asked, F.col("doc_id") == F.col("id")).select("id", "component", "parts", "t")
+    asked = few(written(asked.join(classes.select("cid", "rep", "digest"), F.col("id") == F.col("cid")).select("id", "component", "parts", "rep", "digest")))
+    sets = rows.join(asked, F.col("doc_id") == F.col("rep")).select("id", "component", "parts", "digest", "t")
     sets = sets.mapInArrow(_sets(size), "id long, component long, parts long, set binary").dropDuplicates(["id"])
     sets = sets.join(classes.select("cid", "n", "sketch"), F.col("id") == F.col("cid")).select("component", "parts", "cid", "n", "sketch", "set")
     sets = _blocks(sets, "component").select("component", "cid", "n", "sketch", "set")
-    linked = components(written(map_groups(sets, "component", _confirmed(floor, percent), "a long, b long")))
-    named = classes.select("digest", "cid").join(linked, F.col("cid") == F.col("id"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "cid").alias("c"))
+    confirmed = written(map_groups(sets, "component", _confirmed(floor, percent), "a long, b long"))
+    linked = written(components(confirmed.unionByName(_same_id(described, classes))))
+    reps = classes.select("cid", "rep")
+    least = linked.join(reps, F.col("id") == F.col("cid")).groupBy(F.col("component").alias("root")).agg(F.min("rep").alias("least"))
+    named = linked.join(least, F.col("component") == F.col("root")).select("id", "least")
+    named = classes.select(F.col("digest").alias("d"), "cid", "rep").join(named, F.col("cid") == F.col("id"), "left").select("d", F.coalesce("least", "rep").alias("c"))
     out = described.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("d"), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -236,9 +284,7 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """One document of each component, with the columns of docs; of rows that share a doc_id all stay or go."""
-    gone = written(link(docs, text, doc_id, **how).where("not kept").select(F.col("doc_id").alias("__id")).distinct())
-    if gone.count() <= MAX_BROADCAST:
-        gone = F.broadcast(gone)
+    gone = few(written(link(docs, text, doc_id, **how).where("not kept").select(F.col("doc_id").alias("__id")).distinct()))
     return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__id"), "left_anti")
 
 

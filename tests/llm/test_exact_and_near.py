@@ -57,12 +57,14 @@ def test_empty_table(docs):
     assert near_dedup.link(none).count() == 0 and near_dedup.survivors(none).count() == 0
 
 
+def plain_set(text, size):
+    w = [x.lower() for x in (text or "").split()]
+    k = min(size, len(w))
+    return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if k else set()
+
+
 def plain_components(rows, size, percent):
-    sets = {}
-    for i, t in rows:
-        w = [x.lower() for x in (t or "").split()]
-        k = min(size, len(w))
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if k else set()
+    sets = {i: plain_set(t, size) for i, t in rows}
     up = {i: i for i in sets}
 
     def top(x):
@@ -101,6 +103,71 @@ def test_near_copies_equal_plain(docs, monkeypatch, size, percent):
     assert sorted(x.doc_id for x in left.collect()) == sorted({c for _, c in want.values()}) and "kept" in left.columns
 
 
+def plain_rows(rows, size, percent):
+    """(id, set size, component) of each row, sorted, where an id may occur with several texts: those with words are linked by it too."""
+    sets = [plain_set(t, size) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and (rows[a][0] == rows[b][0] or 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])):
+                up[max(top(a), top(b))] = min(top(a), top(b))
+    return sorted(((i, len(sets[a]), min(rows[b][0] for b in range(len(rows)) if top(b) == top(a))) for a, (i, _) in enumerate(rows)), key=str)
+
+
+def test_repeated_ids_equal_plain(docs):
+    r = np.random.default_rng(8)
+    text = {k: " ".join(f"w{x}" for x in r.integers(0, 1000, 30)) for k in "ABCDE"}
+    rows = [(1, "A"), (1, "B"), (2, "B"), (3, "A"), (4, "C"), (5, "C"), (5, "D"), (6, "D"), (7, "E"), (7, "E"), (8, "E")]
+    rows = [(i, text[k]) for i, k in rows] + [(9, None), (9, text["E"]), (10, "")]
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in near_dedup.link(docs(rows).repartition(3), size=3, percent=85).collect()), key=str)
+    assert got == plain_rows(rows, 3, 85)
+    assert {c for i, _, c in got if i in (1, 2, 3)} == {1} and {c for i, _, c in got if i in (4, 5, 6)} == {4}
+    left = near_dedup.survivors(docs(rows), size=3, percent=85).collect()
+    assert sorted({x.doc_id for x in left}) == [1, 4, 7, 10]
+
+
+def test_large_alike_nodes(docs, monkeypatch):
+    """Families that no branching parts go through blocks beside each other; a stray one goes through all pairs."""
+    r = np.random.default_rng(9)
+    base = [f"w{x}" for x in r.integers(0, 10**6, 300)]
+    rows = [(i, " ".join([*base[:150], f"x{i}", *base[151:]])) for i in range(60)]
+    rows += [(100 + i, " ".join(base[: 260 + i])) for i in range(6)]
+    want = plain_components(rows, 5, 80)
+    monkeypatch.setattr(near_dedup, "NODE", 6)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.link(docs(rows)).collect()} == want
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 85)])
+def test_recall_just_above_the_threshold(docs, size, percent):
+    """Thousands of pairs with a similarity between the threshold and 2.5 points above: nearly all are linked, and none below it is."""
+    r = np.random.default_rng(10)
+    rows, above = [], 0
+    while len(rows) < 4000:
+        a = [f"w{x}" for x in r.integers(0, 10**9, int(r.integers(120, 260)))]
+        b = list(a)
+        for at in r.choice(len(a), int(r.integers(2, 8)), replace=False):
+            b[at] = "new"
+        x, y = plain_set(" ".join(a), size), plain_set(" ".join(b), size)
+        share = 100 * len(x & y) / len(x | y)
+        if percent - 2.5 <= share <= percent + 2.5:
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+            above += share >= percent
+    got = {x.doc_id: x.component_id for x in near_dedup.link(docs(rows).repartition(4), size=size, percent=percent).collect()}
+    linked = 0
+    for i in range(0, len(rows), 2):
+        x, y = plain_set(rows[i][1], size), plain_set(rows[i + 1][1], size)
+        if got[i + 1] == i:
+            assert 100 * len(x & y) >= percent * len(x | y)
+            linked += 1
+    assert linked >= 0.995 * above > 500
+
+
 def test_rows_without_id_stay(docs):
     got = near_dedup.link(docs([(None, "a b c d"), (None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (6, "a b c d")]), size=3, percent=85).collect()
     assert sorted((x.doc_id or -1, x.kept) for x in got) == [(-1, True), (-1, True), (5, True), (5, True), (6, False)]
