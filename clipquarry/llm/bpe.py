@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 The driver reads the rank file (its path is a parameter) and broadcasts it, if it is below a fixed size;
-each Python worker builds the encoder once. Long texts are cut at safe boundaries, where the pattern
-always ends one match and starts another, so the pieces encode as the whole text would:
-between a letter and a single space before a letter, and around long runs of white space, which
-overflow the library's regex stack and are therefore given to it as single pieces.
+each Python worker builds the encoder once. Long texts are cut at safe boundaries, where the default pattern
+always ends one match and starts another, so the pieces encode as the whole text would: behind a letter or number that another kind of character
+follows, in any script, and around long runs of white space, which overflow the library's regex stack and are therefore given to it as
+single pieces. A run of letters without any such place is one match of the pattern and stays whole, and with another pattern texts are not cut.
 
 Defined results: a null text is empty (no ids, no bytes); repeated rows are encoded each; other columns
-stay, but for those named like a result column, which are replaced. Ids that the ranks lack raise an error.
+stay, but for those named like a result column, which are replaced; an empty table gives an empty result. Ids that the ranks lack raise an error.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ LONG_SPACE = 4096
 #: Largest rank file that is broadcast, in bytes.
 MAX_RANKS = 64 << 20
 
-_BOUNDARY = regex.compile(r"(?<=\p{L}) (?=\p{L})")
+_BOUNDARY = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})")
 _RUN = regex.compile(r"\p{White_Space}{%d,}" % LONG_SPACE)
 
 
@@ -67,8 +67,8 @@ def pieces(text: str, chunk: int = CHUNK) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
-    if len(text) < LONG_SPACE:
+def encode_text(enc: tiktoken.Encoding, text: str, cut: bool = True) -> list[int]:
+    if len(text) < LONG_SPACE or not cut:
         return enc.encode_ordinary(text)
     ids: list[int] = []
     at = 0
@@ -85,12 +85,12 @@ def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
 
 def _pass(ranks, pattern: str, text: str | None, ids: str | None, schema: pa.Schema, keep: list[str], encode: bool, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks.value, pattern)
+        enc, cut = encoder(ranks.value, pattern), pattern == default_pattern()
         for batch in slices(batches):
             columns = [batch.column(i) for i, _ in enumerate(keep)]
             packed = []
             if encode:
-                packed = [np.asarray(encode_text(enc, x or ""), "<u4") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                packed = [np.asarray(encode_text(enc, x or "", cut), "<u4") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
                 columns.append(pa.array([x.tobytes() for x in packed], pa.binary()))
             else:
                 packed = [np.frombuffer(x or b"", "<u4") for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]

@@ -1,7 +1,8 @@
 """Quality rules with host-level verdicts, in DataFrame operations only.
 
 Each document gets its rule figures and fails or passes the base rules. A host's failure rate is
-shrunk by a beta prior, fitted to the rates of all hosts by the method of moments; a host whose shrunk
+shrunk by a beta prior, fitted to the counts of all hosts by the moments of the beta-binomial: hosts weigh as many documents as they have, and the
+variance that comes from counting few documents is taken off, so hosts of one document each are no evidence that hosts differ. A host whose shrunk
 rate exceeds a limit is rejected with all its documents. Hosts are aggregated map-side first; the
 verdicts are one row per host, broadcast only if Spark finds them small and else joined with skew handling.
 
@@ -64,19 +65,21 @@ def figures(docs: DataFrame, text: str, doc_id: str, host: str) -> DataFrame:
     return counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
 
 
-def host_rates(judged: DataFrame) -> DataFrame:
-    """(host, base_failed) -> (host, host_docs, host_failures, host_rate): the rates shrunk by the beta prior.
+def host_rates(hosts: DataFrame) -> DataFrame:
+    """(host, base_failed) -> (host, host_docs, host_failures, host_rate): the rates shrunk by the beta prior, rounded to nine digits.
 
-    With mean m and variance v of the hosts' raw rates, the prior has strength m(1-m)/v - 1. Where the
-    rates do not vary, every host has the mean; where they vary more than a beta can, the strength is near 0.
+    Of n documents in h hosts, p is the failure rate and s the sum of n_i (p_i - p)^2. With a correlation r of two documents of one host, s / (p (1 - p)) has the
+    mean (1 - r) (h - 1) + r (n - sum n_i^2 / n). That gives r, within 0 and h / (h + 1), as few hosts are little evidence of a wide prior; it has mean p and strength (1 - r) / r.
+    Where hosts have one document each, or no rate lies between 0 and 1, r is 0 and every host has the mean.
     """
-    per = written(judged.groupBy("host").agg(F.count("*").alias("host_docs"), F.count_if("base_failed").alias("host_failures")))
-    raw = F.col("host_failures") / F.col("host_docs")
-    prior = per.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v"))
-    m, v = F.col("m"), F.col("v")
-    strength = F.when(v > 0, F.greatest(m * (1 - m) / v - 1, F.lit(1e-6)))
-    met = per.join(F.broadcast(prior.select("m", strength.alias("k"))), how="cross")  # one row
-    return met.select("host", "host_docs", "host_failures", F.when(F.col("k").isNull(), m).otherwise((F.col("host_failures") + m * F.col("k")) / (F.col("host_docs") + F.col("k"))).alias("host_rate"))
+    per = written(hosts.groupBy("host").agg(F.count("*").alias("host_docs"), F.count_if("base_failed").alias("host_failures")))
+    n, k = F.col("host_docs").cast("double"), F.col("host_failures").cast("double")
+    sums = per.agg(F.count("*").cast("double").alias("h"), F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(k * k / n).alias("kk"), F.sum(n * n).alias("nn"))
+    sums = sums.withColumn("p", F.col("k") / F.col("n")).withColumn("room", F.col("n") - F.col("nn") / F.col("n") - (F.col("h") - 1)).withColumn("pq", F.col("p") * (1 - F.col("p")))
+    r = F.when((F.col("pq") > 0) & (F.col("room") > 0), F.greatest(F.lit(0.0), F.least(F.col("h") / (F.col("h") + 1), ((F.col("kk") - F.col("k") * F.col("p")) / F.col("pq") - (F.col("h") - 1)) / F.col("room")))).otherwise(0.0)
+    met = per.join(F.broadcast(sums.select("p", r.alias("r"))), how="cross")  # one row
+    rate = (F.col("r") * k + (1 - F.col("r")) * F.col("p")) / (F.col("r") * n + (1 - F.col("r")))
+    return met.select("host", "host_docs", "host_failures", F.round(rate, 9).alias("host_rate"))
 
 
 def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -111,9 +114,10 @@ f AS (
   FROM w LEFT JOIN r USING (doc_id)
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 s AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM b GROUP BY source),
-p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM s),
-q AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1e-6) END AS st FROM p),
-z AS (SELECT source, CASE WHEN st IS NULL THEN m ELSE (k + m * st) / (n + st) END AS rate FROM s, q)
+p AS (SELECT count(*)::DOUBLE AS h, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, sum(k::DOUBLE * k / n) AS kk, sum(n::DOUBLE * n) AS nn FROM s),
+q AS (SELECT *, k / n AS p, n - nn / n - (h - 1) AS room FROM p),
+y AS (SELECT p, CASE WHEN p * (1 - p) > 0 AND room > 0 THEN greatest(0.0, least(h / (h + 1), ((kk - k * p) / (p * (1 - p)) - (h - 1)) / room)) ELSE 0.0 END AS r FROM q),
+z AS (SELECT source, round((r * k + (1 - r) * p) / (r * n + (1 - r)), 9) AS rate FROM s, y)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
 FROM b JOIN z ON b.source IS NOT DISTINCT FROM z.source
 """

@@ -2,19 +2,20 @@
 
 The model's symbols are classes of characters, of which there are 64 whatever the language, and its order
 is 4. So its tables have a proven bound (64 ** 4 entries, 64 MB as single floats), and the classifier sees what spoils
-web text: symbols strewn in, shouting, tables, repeated syllables. All trusted text is counted. Each task
-sends the counts of what it read, so what is gathered follows the input; the count tables are sharded
+web text: symbols strewn in, shouting, tables, repeated syllables. Letters of scripts other than Latin are dealt over the letters' symbols, so that
+their text is modelled at the same order. Each task sends the counts of what it read, so what is gathered follows the input; the count tables are sharded
 by n-gram and joined by context into discounted shares and back-off weights. These go to the workers, which
 add up each document's log probability where it is read. Joining the n-grams of every document with the
 shards by shuffle instead would move many times the text itself.
 
-A document is rejected if its log perplexity lies outside the fences of its language: the quartiles of
-trusted documents, widened by FENCE times the distance between them and, for short texts, by the
-spread that a mean of so few symbols has.
+One in HELD of the trusted texts is not counted; these set the thresholds. A document's log perplexity is compared with the
+median of its language, in units of the spread that documents of its length have there (that of long documents, and that of a mean of so few
+symbols). It is rejected beyond the language's quantiles of this figure, widened by WIDEN, and never within LEAST.
 
-Defined results: a null or empty text has no symbols, perplexity null and is rejected; a null language, or one without
-trusted text, has the fences of all trusted text; with no trusted text at all everything but empty texts is
-kept; a document with several labels is trusted if one says so; repeated rows are judged each.
+Defined results: a null or empty text has no symbols, perplexity null and is rejected; a null language, or one with fewer than ENOUGH held texts,
+has the thresholds of all held texts (of all trusted ones if so few are held); with no trusted text at all everything but empty texts is
+kept; a document with several labels is trusted if one says so; repeated rows, and rows that share an id or have none, are judged each by its own text;
+equal texts are held out together.
 """
 
 from __future__ import annotations
@@ -26,44 +27,54 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, whole, written
+from .common import few, slices, table, whole, written
 
 BITS, ORDER = 6, 4
 SIZE = 1 << BITS
-#: Trusted ids that are broadcast, at most; beyond, labels and documents meet by shuffle.
-MAX_BROADCAST = 2_000_000
-#: Multiples of the distance between the quartiles, and of a short text's standard error.
-FENCE, SPREAD = 3.0, 4.0
+#: One in so many trusted texts sets thresholds; quantiles, the factor by which they are widened, and what they are at least.
+HELD, QUANTILES, WIDEN, LEAST = 8, (0.005, 0.995), 1.5, 2.0
+#: Held texts that a language needs for thresholds of its own; what thresholds are at least without them.
+ENOUGH, LEAST_OF_ALL = 50, 4.0
+#: Symbols of a long document.
+LONG = 1000
+#: Least share of a count that is discounted, so that no context leaves unseen symbols without mass.
+FLOOR = 0.05
 
 
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """The class of every code point: 0 start, 1 space, 2 line end, then letters (without accents), capitals, digits, punctuation, other scripts, others."""
+    """The class of every code point: 0 start, 1 space, 2 line end, then letters (without accents), capitals, digits, punctuation, other Latin letters, others.
+
+    Letters and signs of other scripts are dealt over the classes of letters and of other Latin letters.
+    """
     marks = ".,;:!?'\"()-/|#$%&*=+<>@_"
-    out = np.empty(0x110000, np.uint8)
-    points = np.arange(0x110000)
-    out[:] = 31 + len(marks) + points % 8
-    for p in range(0x2500):
+    rest = 31 + len(marks)
+    dealt = [*range(3, 29), *range(rest, SIZE - 1)]
+    out = np.full(0x110000, SIZE - 1, np.uint8)
+    for p in range(0x32400):  # beyond, Unicode has no letters
         c = chr(p)
-        base = unicodedata.normalize("NFD", c)[0]
-        kind = unicodedata.category(c)[0]
+        kind = unicodedata.category(c)
         if c == "\n":
             out[p] = 2
         elif c.isspace():
             out[p] = 1
         elif c in marks:
             out[p] = 31 + marks.index(c)
-        elif c.isupper():
+        elif kind == "Lu":
             out[p] = 29
         elif c.isdigit():
             out[p] = 30
-        elif base in string.ascii_lowercase:
-            out[p] = 3 + ord(base) - ord("a")
-        elif kind != "L":
-            out[p] = SIZE - 1
+        elif kind[0] in "LM":
+            base = unicodedata.normalize("NFD", c)[0]
+            if base in string.ascii_lowercase:
+                out[p] = 3 + ord(base) - ord("a")
+            elif 0x300 <= p < 0x370 or unicodedata.name(c, "").startswith("LATIN"):
+                out[p] = rest + p % (SIZE - 1 - rest)
+            else:
+                out[p] = dealt[p * 0x9E3779B1 % (1 << 32) * len(dealt) >> 32]
     return out
 
 
@@ -115,7 +126,7 @@ def train(texts: DataFrame) -> list[tuple[np.ndarray, ...]]:
         n = t.groupBy(F.least("c", F.lit(5)).alias("c")).agg(F.count("*").alias("n")).toPandas().set_index("c")["n"].to_dict()
         n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        d = [0.0] + [min(max(i - (i + 1) * y * b / a, 0.0), float(i)) if a and b else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        d = [0.0] + [min(max(i - (i + 1) * y * b / a, FLOOR * i), float(i)) if a and b else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         cut = F.element_at(F.array(*[F.lit(x) for x in d[1:]]), F.least("c", F.lit(3)).cast("int"))
         t = t.withColumns({"h": F.shiftright("k", BITS), "d": cut})
         contexts = t.groupBy("h").agg(F.sum("c").cast("double").alias("all"), F.sum("d").alias("left"))
@@ -158,50 +169,68 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality
     return labels.where(F.col(f"`{label}`") == 1).select(F.col(f"`{doc_id}`").alias("trusted")).where("trusted is not null").distinct()
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    ids = written(ids)
-    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
-
-
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", label_id: str = "doc_id", label: str = "quality", fence: float = FENCE) -> DataFrame:
-    """One row per document: doc_id, lang, n_symbols, log_perplexity, low, high (its fences) and kept."""
-    spark = docs.sparkSession
-    ids = _small(trusted_ids(labels, label_id, label))
+def scores(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, lang: str, label_id: str, label: str) -> DataFrame:
+    """One row per document: doc_id, lang, part (1 counted, 2 held, else 0), x and y (hashes of language and text), n_symbols, bits, squares and log_perplexity."""
+    ids = few(written(trusted_ids(labels, label_id, label)))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), whole(text).alias("t"))
-    model = train(rows.join(ids, F.col("doc_id") == F.col("trusted")).select("t"))
-    marked = rows.join(ids, F.col("doc_id") == F.col("trusted"), "left").select("doc_id", "lang", F.col("trusted").isNotNull().alias("trusted"), "t")
+    part = F.when(F.col("trusted").isNull(), 0).when(F.pmod(F.xxhash64("t"), F.lit(HELD)) == 0, 2).otherwise(1)
+    meet = lambda how: rows.join(ids, F.col("doc_id") == F.col("trusted"), how).withColumn("part", part)
+    model = train(meet("inner").where("part = 1").select("t"))
+    marked = meet("left").select("doc_id", "lang", "part", F.xxhash64("lang", "t").alias("x"), F.hash("t").alias("y"), "t")
     kind = marked.schema["doc_id"].dataType.simpleString()
-    scored = marked.mapInArrow(_score(spark.sparkContext.broadcast(model), 3), f"doc_id {kind}, lang string, trusted boolean, n_symbols long, bits double, squares double")
-    scored = written(scored.withColumn("log_perplexity", F.when(F.col("n_symbols") > 0, F.col("bits") / F.col("n_symbols"))))
-    fences = written(fences_of(scored.where("trusted"), fence))
-    # A few languages hold nearly all rows, so a shuffle by language would be uneven.
-    if fences.count() <= MAX_BROADCAST:
-        fences = F.broadcast(fences)
-    met = scored.join(fences, F.col("lang") == F.col("l"), "left").join(F.broadcast(fences_of(scored.where("trusted").withColumn("lang", F.lit("")), fence).select(*[F.col(c).alias(f"all_{c}") for c in ("l", "low", "high", "sd")])), F.col("all_l") == "", "left")  # at most one row
-    slack = F.coalesce("sd", "all_sd") * SPREAD / F.sqrt(F.greatest("n_symbols", F.lit(1)))
-    met = met.withColumns({"low": F.coalesce("low", "all_low") - slack, "high": F.coalesce("high", "all_high") + slack})
+    scored = marked.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), 5), f"doc_id {kind}, lang string, part int, x long, y int, n_symbols long, bits double, squares double")
+    return written(scored.withColumn("log_perplexity", F.when(F.col("n_symbols") > 0, F.col("bits") / F.col("n_symbols"))))
+
+
+def spread(far: str, one: str) -> Column:
+    """Of documents of n_symbols: far is the spread of long ones, one that of a symbol."""
+    return F.sqrt(F.col(far) * F.col(far) + F.col(one) * F.col(one) / F.greatest("n_symbols", F.lit(1)))
+
+
+def thresholds(held: DataFrame, least: float) -> DataFrame:
+    """(lang, n_symbols, bits, squares, log_perplexity) -> per language l: held texts, middle, far, one, below and above (in spreads, from the middle)."""
+    held = held.where("n_symbols > 0 and lang is not null").withColumnRenamed("lang", "l")
+    mean, quartiles = F.sum("bits") / F.sum("n_symbols"), [0.25, 0.75]
+    q = F.coalesce(F.percentile_approx(F.when(F.col("n_symbols") >= LONG, F.col("log_perplexity")), quartiles, 10_000), F.percentile_approx("log_perplexity", quartiles, 10_000))
+    per = held.groupBy("l").agg(
+        F.count("*").alias("texts"), F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle"),
+        F.greatest((F.get(q, F.lit(1)) - F.get(q, F.lit(0))) / 1.349, F.lit(1e-6)).alias("far"), F.sqrt(F.greatest(F.sum("squares") / F.sum("n_symbols") - mean * mean, F.lit(0.0))).alias("one"),
+    )
+    per = few(written(per))
+    z = (F.col("log_perplexity") - F.col("middle")) / spread("far", "one")
+    cut = held.join(per, "l").groupBy("l").agg(F.percentile_approx(z, list(QUANTILES), 10_000).alias("z"))
+    below, above = F.least(F.get("z", F.lit(0)) * WIDEN, F.lit(-least)), F.greatest(F.get("z", F.lit(1)) * WIDEN, F.lit(least))
+    return per.join(cut, "l").select("l", "texts", "middle", "far", "one", below.alias("below"), above.alias("above"))
+
+
+def judged(scored: DataFrame) -> DataFrame:
+    """scored with low and high (the log perplexities that are kept) and kept."""
+    held = scored.where("part = 2")
+    of_all = held if held.count() >= ENOUGH else scored.where("part > 0")
+    own = few(written(thresholds(held, LEAST).where(F.col("texts") >= ENOUGH)))
+    # At most one row.
+    rest = thresholds(of_all.withColumn("lang", F.lit("")), LEAST_OF_ALL).select(*[F.col(c).alias(f"all_{c}") for c in ("l", "middle", "far", "one", "below", "above")])
+    # A few languages hold nearly all rows: their thresholds are broadcast, as a shuffle by language would be uneven.
+    met = scored.join(own, F.col("lang") == F.col("l"), "left").join(F.broadcast(rest), F.col("all_l") == "", "left")
+    met = met.withColumns({c: F.coalesce(c, f"all_{c}") for c in ("middle", "far", "one", "below", "above")})
+    edge = lambda c: F.col("middle") + F.col(c) * spread("far", "one")
+    met = met.withColumns({"low": edge("below"), "high": edge("above")})
     inside = F.col("low").isNull() | F.col("log_perplexity").between(F.col("low"), F.col("high"))
-    return met.select("doc_id", "lang", "n_symbols", "log_perplexity", "low", "high", (F.col("log_perplexity").isNotNull() & inside).alias("kept"))
-
+    return met.withColumn("kept", F.col("log_perplexity").isNotNull() & inside)
 
-def fences_of(trusted: DataFrame, fence: float) -> DataFrame:
-    """(l, low, high, sd) of each language of trusted documents: fences of long texts, and the spread of one symbol."""
-    q = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
-    mean = F.sum("bits") / F.sum("n_symbols")
-    per = trusted.where("n_symbols > 0 and lang is not null").groupBy(F.col("lang").alias("l")).agg(q.alias("q"), F.sqrt(F.sum("squares") / F.sum("n_symbols") - mean * mean).alias("sd"))
-    low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-    return per.select("l", (low - fence * (high - low)).alias("low"), (high + fence * (high - low)).alias("high"), "sd")
 
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", label_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """One row per document: doc_id, lang, n_symbols, log_perplexity, low, high (its thresholds) and kept."""
+    return judged(scores(docs, labels, text, doc_id, lang, label_id, label)).select("doc_id", "lang", "n_symbols", "log_perplexity", "low", "high", "kept")
 
-def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """The documents that are not rejected, with the columns of docs.
 
-    Verdicts go by id: of rows that share one, all go if one is rejected. The rejected ids are broadcast if they are few.
-    """
-    rejected = written(classify(docs, labels, doc_id=doc_id, **how).where("not kept").select(F.col("doc_id").alias("__id")).distinct())
-    if rejected.count() <= MAX_BROADCAST:
-        rejected = F.broadcast(rejected)
-    return docs.join(rejected, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left_anti")
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", label_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """The documents that are not rejected, with the columns of docs. Verdicts go by id and hashes of language and text, so rows that share an id, or have none, each have their own."""
+    verdicts = judged(scores(docs, labels, text, doc_id, lang, label_id, label))
+    rejected = few(written(verdicts.where("not kept").select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"), F.col("y").alias("__y")).distinct()))
+    t = whole(text)
+    same = (F.xxhash64(F.col(f"`{lang}`"), t) == F.col("__x")) & (F.hash(t) == F.col("__y")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__id"))
+    return docs.join(rejected, same, "left_anti")
 
 
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

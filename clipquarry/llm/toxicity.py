@@ -1,17 +1,18 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features, with expected severity as the result.
 
-Labels say only toxic or not, so grades come from the labelled sample itself: 0 for documents that are not
-toxic, and 1 to 3 for toxic ones by how many of the sample's telling features they hold (split at their
-terciles). The model is P(grade >= k) = sigmoid(w.x - t_k) with one weight vector w for all thresholds t_1 < t_2 < t_3;
-expected severity is the sum of these over k, and a document is toxic if P(grade >= 1) is at least CUT.
+Grades come with the labels: whole numbers from 0 (harmless) up, as many as there are. The model is the proportional-odds one,
+P(grade >= k) = sigmoid(w.x - t_k) with one weight vector w for all thresholds t_1 <= t_2 <= ..., fitted by penalised maximum likelihood.
+Expected severity is the sum of these over k, and a document is toxic if P(grade >= 1) is at least CUT.
 
 Features are the distinct words of the whole text and the first letters of its longer words (stems),
-hashed; of these the model keeps those that are telling in the sample, so unseen words weigh nothing and
-length alone adds nothing. The fit uses a bounded sample of labelled documents, SAMPLE of either class
+hashed. All that LEAST labelled documents of the sample have, harmful or not, go into the fit. A feature's value, where it occurs, is its log odds between harmful and other
+documents, drawn in by one standard error; so what tells nothing starts at nothing, unseen words weigh nothing, and weights (of either sign) come from the fit, under a ridge penalty.
+The fit uses a bounded sample of labelled documents, SAMPLE of grade 0 and as many above
 in the order of a hash of their ids; all documents are scored, each where it is read.
 
-Defined results: a null or empty text has no features and the grades' base score; labels other than 0 and 1
-are not used; without toxic labels every document gets severity 0; repeated rows are scored each.
+Defined results: a null or empty text has no features and the grades' base score; labels that are null or below 0
+are not used; a document with several labels has the largest; of rows that share an id the fit uses the first text in order; equal hashes of ids, where the sample ends, go by id;
+without a label above 0 every document gets severity 0; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -27,15 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, whole, written
 
-#: Labelled documents of either class that the fit uses, at most.
+#: Labelled documents of grade 0, and of higher grades, that the fit uses, at most.
 SAMPLE = 4000
 #: Letters of a stem, and the shortest word that has one.
 STEM = 5
-#: A feature is telling if so large a share of the sample's toxic documents have it (and LEAST of them), and its odds there are so many times those elsewhere.
-SUPPORT, LEAST, ODDS = 0.002, 3, 20.0
-GRADES = 3
-#: Share of toxic documents that the fit assumes.
-PRIOR = 0.1
+#: Documents of the sample that have a feature, at least.
+LEAST = 3
+#: Share of documents above grade 0 that the fit assumes, and its ridge penalty.
+PRIOR, RIDGE = 0.3, 3e-4
 CUT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -54,55 +54,90 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int) -> list[tuple[int, np.ndarray]]:
-    """(toxic, features) of at most ``size`` labelled documents of either class."""
+    """(grade, features) of at most ``size`` labelled documents of grade 0 and as many of higher ones."""
     order = F.md5(F.concat(F.lit("toxicity:"), F.col("id").cast("string")))
-    marks = labels.where("y in (0, 1) and id is not null").select("y", "id", order.alias("o"))
-    ids = marks.where("y = 0").orderBy("o", "id").limit(size).unionByName(marks.where("y = 1").orderBy("o", "id").limit(size))
-    ids = written(ids.select("y", "id").distinct())  # at most 2 * size rows
-    met = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select(F.col("y").cast("int"), "t")
+    marks = labels.where("y >= 0 and id is not null").groupBy("id").agg(F.max("y").cast("int").alias("y")).withColumn("o", order)
+    ids = written(marks.where("y = 0").orderBy("o", "id").limit(size).unionByName(marks.where("y > 0").orderBy("o", "id").limit(size)).select("y", "id"))  # at most 2 * size rows
+    met = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.first("y").alias("y"), F.min("t").alias("t")).select("y", "t")
     got = met.mapInArrow(_extract, "y int, x binary").toArrow()
     rows = sorted((y, bytes(x)) for y, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     return [(y, np.frombuffer(x, np.uint32)) for y, x in rows]
 
 
-def fit(rows: list[tuple[int, np.ndarray]], steps: int = 1500, penalty: float = 1e-4) -> dict:
-    """The model: features (sorted hashes), weights, thresholds; the thresholds are infinite if no document is toxic."""
-    toxic = np.array([y for y, _ in rows], bool)
-    none = {"features": np.empty(0, np.int64), "weights": np.empty(0), "thresholds": np.full(GRADES, np.inf)}
-    if not toxic.any():
-        return none
-    nt, nc = toxic.sum(), (~toxic).sum()
-    # Only what enough toxic documents have can be telling; the rest of the sample is cut down to that at once.
-    vocabulary, there = np.unique(np.concatenate([x for y, x in rows if y]), return_counts=True)
-    often = there >= max(LEAST, SUPPORT * nt)
-    vocabulary, there = vocabulary[often], there[often]
-    found = [np.flatnonzero(np.isin(vocabulary, x, assume_unique=True)) for _, x in rows]
-    flat, owner = np.concatenate(found), np.repeat(np.arange(len(rows)), [len(x) for x in found])
-    else_ = np.bincount(flat, ~toxic[owner], len(vocabulary))
-    odds = ((there + 0.5) / (nt - there + 0.5)) / ((else_ + 0.5) / (nc - else_ + 0.5))
-    telling = odds >= ODDS
-    if not telling.any():
-        return none
-    number = np.cumsum(telling) - 1
-    use = telling[flat]
-    col, row = number[flat[use]], owner[use]
-    hits = np.bincount(row, minlength=len(rows))
-    cuts = np.quantile(hits[toxic & (hits > 0)], [1 / 3, 2 / 3]) if (toxic & (hits > 0)).any() else [1, 2]
-    grade = np.where(toxic, 1 + (hits > cuts[0]) + (hits > cuts[1]), 0)
-    w, t = np.zeros(telling.sum()), np.array([1.0, 2.0, 3.0])
-    above = grade[:, None] >= np.arange(1, GRADES + 1)
-    gw, gt = np.zeros_like(w), np.zeros_like(t)
-    # The classes' say is fixed, whatever their share of the sample.
-    say = np.where(toxic, PRIOR / nt, (1 - PRIOR) / max(nc, 1))[:, None]
-    for _ in range(steps):  # AdaGrad on the cumulative links
-        z = np.bincount(row, w[col], len(rows))[:, None] - t
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - above) * say
-        dw = np.bincount(col, error.sum(1)[row], len(w)) + penalty * w / len(w)
-        dt = -error.sum(0)
-        gw, gt = gw + dw * dw, gt + dt * dt
-        w -= 0.5 * dw / np.sqrt(gw + 1e-12)
-        t = np.maximum.accumulate(t - 0.5 * dt / np.sqrt(gt + 1e-12) + np.arange(GRADES) * 1e-9)
-    return {"features": vocabulary[telling].astype(np.int64), "weights": w, "thresholds": t}
+class Loss:
+    """The negative log-likelihood of grades, weighted by document, and a ridge penalty; rows are sparse, given as (row, column, value)."""
+
+    def __init__(self, grade: np.ndarray, say: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, width: int, ridge: float) -> None:
+        self.grade, self.say, self.row, self.col, self.value, self.width, self.ridge = grade, say, row, col, value, width, ridge
+        self.top = int(grade.max())
+
+    def at(self, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(loss, its gradients in w and t); infinite where thresholds are out of order."""
+        if (np.diff(t) <= 0).any():
+            return np.inf, w, t
+        n, g = len(self.grade), self.grade
+        z = np.bincount(self.row, w[self.col] * self.value, n)[:, None] - t
+        above = np.c_[np.ones(n), 1 / (1 + np.exp(-np.clip(z, -60, 60))), np.zeros(n)]
+        i = np.arange(n)
+        p = np.maximum(above[i, g] - above[i, g + 1], 1e-300)
+        error = -(1 - above[i, g] - above[i, g + 1]) * self.say
+        slope = above * (1 - above) * (self.say / p)[:, None]
+        dt = np.array([slope[g == k, k].sum() - slope[g == k - 1, k].sum() for k in range(1, self.top + 1)])
+        dw = np.bincount(self.col, error[self.row] * self.value, self.width) + self.ridge * w
+        return float(-(self.say * np.log(p)).sum() + self.ridge / 2 * (w @ w)), dw, dt
+
+
+def solve(loss: Loss, t: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of least loss, by gradient steps with momentum, each as long as the loss allows."""
+    w = np.zeros(loss.width)
+    v, u, pace, rate = w, t, 1.0, 1.0
+    for _ in range(steps):
+        value, dw, dt = loss.at(v, u)
+        size = dw @ dw + dt @ dt
+        if size < 1e-16:
+            break
+        while loss.at(v - rate * dw, u - rate * dt)[0] > value - rate / 2 * size + 1e-15:
+            rate /= 2
+        w_next, t_next = v - rate * dw, u - rate * dt
+        # Momentum starts anew where it leads uphill or out of order.
+        back = dw @ (w_next - w) + dt @ (t_next - t) > 0
+        pace_next = 1.0 if back else (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead = 0.0 if back else (pace - 1) / pace_next
+        v, u = w_next + ahead * (w_next - w), t_next + ahead * (t_next - t)
+        if (np.diff(u) <= 0).any():
+            v, u = w_next, t_next
+        w, t, pace, rate = w_next, t_next, pace_next, rate * 1.2
+    return w, t
+
+
+def fit(rows: list[tuple[int, np.ndarray]], steps: int = 150) -> dict:
+    """The model: features (sorted hashes), weights, thresholds; the thresholds are infinite if no document is above grade 0."""
+    grade = np.array([y for y, _ in rows], int)
+    harmful = grade > 0
+    if not harmful.any():
+        return {"features": np.empty(0, np.int64), "weights": np.empty(0), "thresholds": np.full(1, np.inf)}
+    # Grades that no document has are left out of the fit, and have the next one's threshold.
+    kinds = np.unique(np.r_[0, grade])
+    grade = np.searchsorted(kinds, grade)
+    some, none = harmful.sum(), (~harmful).sum()
+    # The share of harmful documents is fixed, whatever it is in the sample.
+    say = np.where(harmful, PRIOR / some, (1 - PRIOR) / max(none, 1))
+    vocabulary, col = np.unique(np.concatenate([x for _, x in rows]), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), [len(x) for _, x in rows])
+    there = np.bincount(col, harmful[row], len(vocabulary))
+    else_ = np.bincount(col, ~harmful[row], len(vocabulary))
+    odds = np.log((there + 0.5) / (some + 1)) - np.log((else_ + 0.5) / (none + 1))
+    odds = np.sign(odds) * np.maximum(np.abs(odds) - np.sqrt(1 / (there + 0.5) + 1 / (else_ + 0.5)), 0)
+    used = (there + else_ >= LEAST) & (odds != 0)
+    number = np.cumsum(used) - 1
+    use = used[col]
+    vocabulary, odds, col, row = vocabulary[used], odds[used], number[col[use]], row[use]
+    # Without features, thresholds are the shares of the grades.
+    up = np.cumsum(np.bincount(grade, say, len(kinds))[::-1])[::-1][1:] / say.sum()
+    up = np.clip(up, 1e-9, 1 - 1e-9)
+    w, t = solve(Loss(grade, say, row, col, odds[col], len(vocabulary), RIDGE), np.log((1 - up) / up), steps)
+    at = np.searchsorted(kinds, np.arange(1, kinds[-1] + 1)) - 1
+    return {"features": vocabulary.astype(np.int64), "weights": w * odds, "thresholds": t[at]}
 
 
 def severity(model: dict, x: np.ndarray) -> np.ndarray:
@@ -111,7 +146,7 @@ def severity(model: dict, x: np.ndarray) -> np.ndarray:
     at = at[at < len(model["features"])] if len(model["features"]) == 0 else np.minimum(at, len(model["features"]) - 1)
     known = model["features"][at] == x[: len(at)]
     z = model["weights"][at[known]].sum() - model["thresholds"]
-    return 1 / (1 + np.exp(-np.clip(z, -500, 500))) if np.isfinite(z).all() else np.zeros(GRADES)
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500))) if np.isfinite(z).all() else np.zeros(len(z))
 
 
 def _score(shared):
@@ -131,7 +166,7 @@ def _score(shared):
             for text in batch.column(1).to_pylist():
                 x = {h for w in set(_WORD.findall((text or "").lower())) for h in (cache[w] if w in cache else hashes(w))}
                 ps.append(severity(model, np.fromiter(sorted(x), np.int64, len(x))))
-            p = np.array(ps).reshape(-1, GRADES)
+            p = np.array(ps).reshape(-1, len(model["thresholds"]))
             grade = (p >= 0.5).sum(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(grade.astype(np.int32)), pa.array(p[:, 0] >= CUT)], ["doc_id", "severity", "p_toxic", "grade", "toxic"])
 
@@ -139,7 +174,10 @@ def _score(shared):
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label_id: str = "doc_id", label: str = "toxic", size: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, severity (expected grade, 0 to 3), p_toxic, grade (0 to 3) and toxic."""
+    """One row per document: doc_id, severity (expected grade), p_toxic (of any grade above 0), grade (the largest that is as likely as not) and toxic.
+
+    ``label`` names a column of whole grades from 0 up; 0 and 1 make a model with one threshold.
+    """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), whole(text).alias("t"))
     marks = labels.select(F.col(f"`{label_id}`").alias("id"), F.col(f"`{label}`").alias("y"))
     shared = docs.sparkSession.sparkContext.broadcast(fit(sample(rows, marks, size)))
@@ -148,5 +186,6 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of this table know two grades, toxic or not, so this model has one threshold and severity lies in 0 to 1."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return score(docs, labels)

@@ -81,6 +81,51 @@ def test_figures_equal_plain(docs):
     assert got == {i: plain_figures(t) for i, t in rows}
 
 
+def plain_rates(hosts):
+    """The rates by a plain reading of the moments: {host: (documents, failures)} -> {host: rate}."""
+    n, k = sum(d for d, _ in hosts.values()), sum(f for _, f in hosts.values())
+    p, room = k / n, n - sum(d * d for d, _ in hosts.values()) / n - (len(hosts) - 1)
+    r = 0.0
+    if 0 < p < 1 and room > 0:
+        between = sum(d * (f / d - p) ** 2 for d, f in hosts.values()) / (p * (1 - p))
+        r = min(max((between - (len(hosts) - 1)) / room, 0.0), len(hosts) / (len(hosts) + 1))
+    return {h: (r * f + (1 - r) * p) / (r * d + 1 - r) for h, (d, f) in hosts.items()}
+
+
+def rates(spark, hosts):
+    rows = [(h, i < f) for h, (d, f) in hosts.items() for i in range(d)]
+    return {x.host: x.host_rate for x in host_rules.host_rates(spark.createDataFrame(rows, "host string, base_failed boolean").repartition(3)).collect()}
+
+
+def test_rates_equal_plain(spark):
+    r = np.random.default_rng(6)
+    for case in range(4):
+        hosts = {f"h{i}": (int(d), int(r.binomial(d, r.beta(*[(1, 3), (0.2, 0.2), (50, 50), (5, 1)][case])))) for i, d in enumerate(r.integers(1, 40, 25))}
+        assert rates(spark, hosts) == pytest.approx(plain_rates(hosts), abs=1e-8)
+
+
+def test_few_documents_say_little(spark):
+    one = rates(spark, {f"h{i}": (1, i % 2) for i in range(100)})
+    assert all(x == 0.5 for x in one.values())  # one document each is no evidence that hosts differ
+    alike = rates(spark, {f"h{i}": (20, 10) for i in range(30)})
+    assert all(x == 0.5 for x in alike.values())
+    apart = rates(spark, {f"h{i}": (200, 190 if i % 2 else 10) for i in range(30)} | {"new": (1, 1)})
+    assert apart["h1"] > apart["new"] > 0.5 and apart["new"] < 0.95 and apart["h0"] < 0.1
+    assert set(rates(spark, {"a": (3, 3), "b": (2, 2)}).values()) == {1.0} and rates(spark, {"a": (3, 1)})["a"] == pytest.approx(1 / 3, abs=1e-8)
+
+
+def test_the_prior_is_found(spark):
+    """Hosts drawn from a beta distribution: the shrunk rates are nearer to the true ones than raw rates are, and about as near as with the true prior."""
+    r = np.random.default_rng(7)
+    true = r.beta(2, 4, 400)
+    docs_ = r.integers(1, 12, 400)
+    failed = r.binomial(docs_, true)
+    got = rates(spark, {f"h{i}": (int(d), int(f)) for i, (d, f) in enumerate(zip(docs_, failed))})
+    error = lambda x: float(np.mean((x - true) ** 2))
+    mine = error(np.array([got[f"h{i}"] for i in range(400)]))
+    assert mine < 0.6 * error(failed / docs_) and mine < 1.05 * error((failed + 2) / (docs_ + 6))
+
+
 def test_bad_hosts_take_their_documents_along(docs):
     good = " ".join(f"w{i}" for i in range(60))
     rows = [(i, good, None, "good") for i in range(60)] + [(100 + i, "short" if i % 10 else good, None, "bad") for i in range(60)] + [(300, good, None, None), (301, "short", None, "one")]
