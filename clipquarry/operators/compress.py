@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
@@ -22,6 +23,8 @@ from .tokens import pooled
 #: Codebooks up to this size are searched with columns, and projections of up to so many numbers are written out as columns; larger ones go to kernels.
 SMALL_CODEBOOK = 32
 SMALL_PROJECTION = 1024
+#: Keys of a sample that are broadcast, at most; a larger sample's rows meet them by shuffle.
+BROADCAST_SAMPLE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -60,9 +63,10 @@ class Model:
         return model
 
 
-def projected(tokens: DataFrame, model: Model, vec: str = "vec", name: str = "y") -> DataFrame:
+def projected(tokens: DataFrame, model: Model, vec: str = "vec", name: str = "y", kernel: bool | None = None) -> DataFrame:
+    """tokens with their projection, by columns or (kernel; by default for large models) by matrix products."""
     model.require("mean", "components")
-    if model.width * len(model.mean) <= SMALL_PROJECTION:
+    if not kernel and (kernel is False or model.width * len(model.mean) <= SMALL_PROJECTION):
         return tokens.withColumn(name, V.project(V.doubles(F.col(vec)), model.mean, model.components))
     shared = tokens.sparkSession.sparkContext.broadcast((np.array(model.mean), np.array(model.components)))
 
@@ -74,9 +78,9 @@ def projected(tokens: DataFrame, model: Model, vec: str = "vec", name: str = "y"
     return tokens.withColumn(name, project(vec))
 
 
-def assigned(tokens: DataFrame, centroids: list[list[float]], vec: str = "y", name: str = "centroid_id") -> DataFrame:
-    """tokens with the nearest centroid; of equally near ones the first."""
-    if len(centroids) <= SMALL_CODEBOOK:
+def assigned(tokens: DataFrame, centroids: list[list[float]], vec: str = "y", name: str = "centroid_id", kernel: bool | None = None) -> DataFrame:
+    """tokens with the nearest centroid; of equally near ones the first. By columns or, as in projected(), by matrix products."""
+    if not kernel and (kernel is False or len(centroids) <= SMALL_CODEBOOK):
         book = F.array(*[V.literal(c) for c in centroids])
         far = tokens.withColumn("__d", F.transform(book, lambda c: V.squared_distance(F.col(vec), c)))
         return far.withColumn(name, (F.array_position(F.col("__d"), F.array_min("__d")) - 1).cast("int")).drop("__d")
@@ -119,9 +123,10 @@ def level_values(rows: DataFrame, thresholds: DataFrame, vec: str = "residual")
 
 
 def _pca(vectors: DataFrame, width: int) -> tuple[list[float], list[list[float]], list[float]]:
-    d = vectors.select(F.size("v")).first()[0]
-    mean = list(vectors.agg(*[F.avg(F.element_at("v", i + 1)) for i in range(d)]).first())
-    fitted = PCA(k=width, inputCol="x", outputCol="y").fit(vectors.select(array_to_vector(V.minus(F.col("v"), V.literal(mean))).alias("x")))
+    """(mean, components, shares of the variance); the covariance is centred by the fit itself."""
+    rows = vectors.select(array_to_vector("v").alias("x"))
+    mean = rows.select(Summarizer.mean(F.col("x")).alias("m")).first()["m"].toArray().tolist()
+    fitted = PCA(k=width, inputCol="x", outputCol="y").fit(rows)
     return mean, fitted.pc.toArray().T.tolist(), fitted.explainedVariance.toArray().tolist()
 
 
@@ -142,7 +147,7 @@ def fit(tokens: DataFrame, width: int = 128, n_centroids: int = 32_768, seed: in
         mean, components, explained = _pca(vectors, p)
         if width == 128 and p == 128 and sum(explained) < variance and min(rows, d) >= wide:
             mean, components, explained = _pca(vectors, wide)
-        ys = vectors.select(V.project(F.col("v"), mean, components).alias("y")).persist()
+        ys = projected(vectors, Model(mean, components, []), "v").select("y").persist()
         k = min(n_centroids, rows)
         clusters = KMeans(k=k, seed=seed, featuresCol="x").fit(ys.select(array_to_vector("y").alias("x")))
         model = Model(mean, components, [c.tolist() for c in clusters.clusterCenters()], explained=explained)
@@ -178,10 +183,10 @@ def _compress_kernel(shared):
     return run
 
 
-def compressed(tokens: DataFrame, model: Model) -> DataFrame:
+def compressed(tokens: DataFrame, model: Model, kernel: bool | None = None) -> DataFrame:
     """One row per token: clip_id, token_pos, centroid_id, packed (hex), y."""
     model.require("mean", "components", "centroids", "thresholds")
-    if not is_small(model):
+    if kernel or (kernel is None and not is_small(model)):
         shared = tokens.sparkSession.sparkContext.broadcast(tuple(np.array(x) for x in (model.mean, model.components, model.centroids, model.thresholds)))
         rows = tokens.select("clip_id", "token_pos", "vec")
         kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("clip_id", "token_pos")]
@@ -199,10 +204,10 @@ def clip_records(tokens: DataFrame, model: Model) -> DataFrame:
     return packed.join(pooled(rows, model.width, vec="y", name="coarse_vector"), "clip_id")
 
 
-def decompressed(rows: DataFrame, model: Model, name: str = "vec") -> DataFrame:
+def decompressed(rows: DataFrame, model: Model, name: str = "vec", kernel: bool | None = None) -> DataFrame:
     """Rows with centroid_id and packed, and the vector that they stand for."""
     model.require("centroids", "levels")
-    if not is_small(model):
+    if kernel or (kernel is None and not is_small(model)):
         shared = rows.sparkSession.sparkContext.broadcast((np.array(model.centroids), np.array(model.levels)))
         width = model.width
 
@@ -245,12 +250,18 @@ def allocation(batches: DataFrame, size: int) -> DataFrame:
 
 
 def sampled(rows: DataFrame, size: int, seed: int = 0, batch: str = "batch", key: str = "pos") -> DataFrame:
-    """A sample without replacement of exactly ``size`` rows, spread over the batches in proportion, by a hash of seed, batch and key."""
-    shares = allocation(rows.groupBy(F.col(batch).alias("batch")).agg(F.count("*").alias("n")), size)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(batch).cast("string"), F.col(key).cast("string")))
-    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(batch).orderBy(order, key)))
-    take = shares.select(F.col("batch").alias("__b"), "take")
-    return ranked.join(take, F.col(batch) == F.col("__b")).where(F.col("__n") <= F.col("take")).drop("__n", "__b", "take")
+    """A sample without replacement of exactly ``size`` rows, spread over the batches in proportion, by a hash of seed, batch and key (unique in a batch).
+
+    Only keys are ranked and shuffled; the rows meet the chosen ones, ``size`` at most, where they are read.
+    """
+    keys = rows.select(F.col(batch).alias("__b"), F.col(key).alias("__k"))
+    shares = allocation(keys.groupBy(F.col("__b").alias("batch")).agg(F.count("*").alias("n")), size)
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__b").cast("string"), F.col("__k").cast("string")))
+    ranked = keys.withColumn("__n", F.row_number().over(Window.partitionBy("__b").orderBy(order, "__k")))
+    chosen = ranked.join(shares.select(F.col("batch").alias("__s"), "take"), F.col("__b") == F.col("__s")).where(F.col("__n") <= F.col("take")).select("__b", "__k")
+    if size <= BROADCAST_SAMPLE:
+        chosen = F.broadcast(chosen)
+    return rows.join(chosen, (F.col(batch) == F.col("__b")) & (F.col(key) == F.col("__k")), "left_semi")
 
 
 def uniform_sample(rows: DataFrame, size: int, seed: int = 0, key: str = "clip_id") -> DataFrame:

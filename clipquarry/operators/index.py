@@ -10,12 +10,15 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from .compress import assigned, uniform_sample
 from .search import coarse_search, knn_join, positive
 from .tokens import unit
 
 LEAST_RECALL = 0.95
+#: Rows of a list that one task writes, about.
+LIST_ROWS = 1_000_000
 
 
 class RecallError(AssertionError):
@@ -37,7 +40,11 @@ class Index:
         rows = unit(vectors.select("clip_id", F.col(vec).alias("vec")), "vec")
         fitted = KMeans(k=lists, seed=seed, featuresCol="x").fit(uniform_sample(rows, sample, seed).select(array_to_vector("vec").alias("x")))
         centres = [c.tolist() for c in fitted.clusterCenters()]
-        assigned(rows, centres, "vec", "list").repartition("list").write.mode("overwrite").partitionBy("list").parquet(f"{path}/vectors")
+        listed = assigned(rows, centres, "vec", "list")
+        # A list with many rows is dealt to several tasks, and then has several files.
+        parts = listed.groupBy(F.col("list").alias("__l")).agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("__parts"))
+        dealt = listed.join(F.broadcast(parts), F.col("list") == F.col("__l")).withColumn("__part", F.pmod(F.xxhash64("clip_id"), F.col("__parts"))).drop("__l", "__parts")  # one row per list
+        dealt.repartition("list", "__part").drop("__part").write.mode("overwrite").partitionBy("list").parquet(f"{path}/vectors")
         rows.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centres)], "list int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
         return cls(path, centres, probes)
 
@@ -76,12 +83,33 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> float:
     return float(per.agg(F.avg("r")).first()[0] or 0.0)
 
 
-def validate(index: Index, vectors: DataFrame, queries: int = 1000, k: int = 10, vec: str = "coarse") -> float:
-    """The index's recall over a sample of its own vectors; RecallError if it is not above LEAST_RECALL."""
+def measured(index: Index, vectors: DataFrame, queries: int = 1000, k: int = 10, vec: str = "coarse") -> float:
+    """The index's recall over a sample of its own vectors."""
     rows = vectors.select("clip_id", F.col(vec).alias("vec"))
     k = min(k, rows.count())
     asked = uniform_sample(rows, queries).withColumnRenamed("clip_id", "query_id")
-    share = recall(index.knn(asked, k), knn_join(asked, rows, k), k)
+    return recall(index.knn(asked, k), knn_join(asked, rows, k), k)
+
+
+def validate(index: Index, vectors: DataFrame, queries: int = 1000, k: int = 10, vec: str = "coarse") -> float:
+    """measured(); RecallError if it is not above LEAST_RECALL."""
+    share = measured(index, vectors, queries, k, vec)
     if share <= LEAST_RECALL:
         raise RecallError(f"recall {share:.4f} is not above {LEAST_RECALL}")
     return share
+
+
+def record(spark: SparkSession, path: str, probes: int, share: float, vectors: int) -> None:
+    """Keeps beside an index what recall it had with so many probes, and over how many vectors."""
+    spark.createDataFrame([(probes, share, vectors)], "probes int, recall double, vectors long").coalesce(1).write.mode("overwrite").parquet(f"{path}/recall")
+
+
+def recorded(spark: SparkSession, path: str) -> tuple[int, float, int] | None:
+    """(probes, recall, vectors) as record() left them, or None."""
+    try:
+        row = spark.read.parquet(f"{path}/recall").first()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+            return None
+        raise
+    return None if row is None else (row["probes"], row["recall"], row["vectors"])

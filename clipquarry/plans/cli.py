@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 from ..operators.tokens import Grid
 from ..sources.datasets import Pipeline
-from ..sources.images import load
+from ..sources.images import load, model_of
+from . import jobs
 from .orchestrator import Orchestrator, human_bytes
 
 COMMANDS = {"run": "all stages that are not done", "extract": "frames to tokens", "compress": "tokens to shards and catalog", "build-index": "catalog to index", "serve": "answer searches", "status": "where the stages stand", "validate": "recall, reconstruction, samples, sizes"}
@@ -58,9 +59,11 @@ def main(argv: list[str] | None = None, make: Callable[[Path], Orchestrator] | N
         from .serve import Engine, Service, serve
 
         c = work.config
-        model = load(c.serving.encoder)()
+        model = model_of(c.serving.encoder, c.serving.device)
+        processor = load(c.extraction.processor)() if c.extraction.processor else None
         length = c.datasets[0].clip_length
-        engine = Engine(work.spark, c.compression, str(c.index.output_path), lambda image: model([[image] * length])[0], Grid(), c.index.probes)
+        encode = lambda image: jobs.features_of(model([jobs.prepared(processor, [image] * length)]))[0]
+        engine = Engine(work.spark, c.compression, str(c.index.output_path), encode, Grid(), c.index.probes)
         serve(Service(engine, c.serving.places, c.serving.model_id, c.serving.device), c.serving)
     return 0
 

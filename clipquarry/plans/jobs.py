@@ -7,8 +7,7 @@ already is found by listing, not by trusting a counter.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +18,14 @@ from pyspark.sql.utils import AnalysisException
 from ..operators import clips, compress, index, numbering, search
 from ..operators import tokens as tok
 from ..sources import shards
-from ..sources.datasets import Compression, Dataset, Extraction, IndexSettings, Pipeline, read_frames
-from ..sources.images import load
+from ..sources.datasets import Compression, Dataset, Extraction, IndexSettings, Pipeline, Place, read_frames
+from ..sources.images import load, model_of
 from ..work import saved
 
 CLIPS_PER_SHARD = 100
 
 
-def read_if_there(spark: SparkSession, path: Path | str) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(str(path))
     except AnalysisException as error:
@@ -52,22 +51,60 @@ def numbered_clips(spark: SparkSession, datasets: list[Dataset], frames_of=read_
     return catalog.drop("dataset_at", "run", "window"), slots
 
 
-def encoded(slots: DataFrame, encoder: str, batch_size: int = 1) -> DataFrame:
+def features_of(output) -> np.ndarray:
+    """The array in what an encoder returns: the first of a tuple, last_hidden_state or vision_features of a mapping or an object, or the output itself; as 32-bit floats."""
+    if isinstance(output, tuple):
+        output = output[0]
+    for name in ("last_hidden_state", "vision_features"):
+        if isinstance(output, Mapping):
+            if name in output:
+                output = output[name]
+                break
+        elif hasattr(output, name):
+            output = getattr(output, name)
+            break
+    if isinstance(output, Mapping):
+        raise ValueError(f"an encoder's mapping has last_hidden_state or vision_features, not {sorted(output)}")
+    for step in ("detach", "cpu", "float"):  # a tensor on a device, of any precision
+        if hasattr(output, step):
+            output = getattr(output, step)()
+    return np.asarray(output, np.float32)
+
+
+def prepared(processor, images: list):
+    """What a video processor makes of a clip's images: its pixel_values (or pixel_values_videos), without a batch dimension of one. Without a processor, the images."""
+    if processor is None:
+        return images
+    made = processor(images)
+    if isinstance(made, Mapping):
+        for name in ("pixel_values", "pixel_values_videos"):
+            if made.get(name) is not None:
+                made = made[name]
+                break
+        else:
+            raise ValueError("a processor's mapping has pixel_values or pixel_values_videos")
+    made = np.asarray(made)
+    return made[0] if made.ndim == 5 and len(made) == 1 else made
+
+
+def encoded(slots: DataFrame, encoder: str, batch_size: int = 1, processor: str = "", device: str = "cpu") -> DataFrame:
     """(clip_index, token_pos, vec): what the encoder makes of each clip's images.
 
-    encoder is ``module:attribute`` of a function that returns, once per worker, a model: lists of images to an array
-    (clips, tokens, dimensions).
+    encoder is ``module:attribute`` of a function that returns, once per worker, a model: lists of clips to an array (clips, tokens, dimensions), or to what
+    features_of() unwraps. If the function takes a device, it gets it, and as dtype float32 on a CPU and float16 elsewhere. processor, if it is given, is
+    ``module:attribute`` of a function that returns what prepared() calls on each clip's images.
     """
     whole = slots.groupBy("clip_index").agg(F.array_sort(F.collect_list(F.struct("slot", "image"))).alias("x"))
     whole = whole.select("clip_index", F.transform("x", lambda x: x["image"]).alias("images"))
     schema = pa.schema([("clip_index", pa.int64()), ("token_pos", pa.int32()), ("vec", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(encoder)()
+        model = model_of(encoder, device)
+        process = load(processor)() if processor else None
         for batch in batches:
             for at in range(0, batch.num_rows, batch_size):
                 part = batch.slice(at, batch_size)
-                out = np.asarray(model(part.column(1).to_pylist()), np.float32)
+                out = features_of(model([prepared(process, x) for x in part.column(1).to_pylist()]))
                 if out.ndim != 3 or len(out) != part.num_rows:
                     raise ValueError("an encoder returns clips x tokens x dimensions")
                 n, t, _ = out.shape
@@ -95,14 +132,14 @@ def run_extraction(spark: SparkSession, datasets: list[Dataset], settings: Extra
         left = catalog.join(todo, "batch_id", "left_semi")
         # The clips to do are chosen before any image is encoded.
         images = slots.join(left.select("clip_index"), "clip_index", "left_semi")
-        made = encoded(images, settings.encoder, settings.batch_size).withColumn("batch_id", batch)
+        made = encoded(images, settings.encoder, settings.batch_size, settings.processor, settings.device).withColumn("batch_id", batch)
         made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(str(out / "tokens"))
         left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(str(out / "metadata"))
     last = catalog.agg(F.max("clip_index")).first()[0]
     return -1 if last is None else int(last)
 
 
-def raw_batches(spark: SparkSession, raw_dir: Path) -> DataFrame:
+def raw_batches(spark: SparkSession, raw_dir: Place) -> DataFrame:
     """(batch_id, first_clip, last_clip, clips): the batches that have both tokens and metadata; an error if one lacks a side."""
     metadata, tokens = read_if_there(spark, raw_dir / "metadata"), read_if_there(spark, raw_dir / "tokens")
     if metadata is None or tokens is None:
@@ -139,7 +176,7 @@ def run_compression(spark: SparkSession, settings: Compression) -> int:
     return -1 if last is None else int(last)
 
 
-def coarse_vectors(spark: SparkSession, output_dir: Path) -> DataFrame:
+def coarse_vectors(spark: SparkSession, output_dir: Place) -> DataFrame:
     """(clip_id, coarse) of all shards; only that column is read."""
     records = read_if_there(spark, output_dir / "records")
     if records is None:
@@ -148,9 +185,19 @@ def coarse_vectors(spark: SparkSession, output_dir: Path) -> DataFrame:
 
 
 def run_index(spark: SparkSession, compression: Compression, settings: IndexSettings) -> index.Index:
+    """Builds the index anew and records its recall, by which searches decide whether to use it."""
     vectors = coarse_vectors(spark, compression.output_dir)
-    lists = min(settings.lists, vectors.count())
-    return index.Index.build(vectors, str(settings.output_path), lists, min(settings.probes, lists))
+    n = vectors.count()
+    lists = min(settings.lists, n)
+    built = index.Index.build(vectors, str(settings.output_path), lists, min(settings.probes, lists))
+    index.record(spark, built.path, built.probes, index.measured(built, vectors), n)
+    return built
+
+
+def index_is_behind(spark: SparkSession, compression: Compression, settings: IndexSettings) -> bool:
+    """Whether there are records that the index does not hold."""
+    known = index.recorded(spark, str(settings.output_path))
+    return known is None or known[2] != coarse_vectors(spark, compression.output_dir).count()
 
 
 def token_table(spark: SparkSession, compression: Compression, clip_ids: DataFrame | None = None) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
 import time
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from ..sources.datasets import Pipeline, read_frames
+from ..work import delete
 from . import jobs
 from .control import Task, TaskStore
 
@@ -52,9 +51,10 @@ class Orchestrator:
             self.store.set_metadata("run_started", time.time())
 
     def run(self) -> dict:
+        """Runs what is not done; an index that lacks records counts as not done."""
         self._prepare()
         for s in STAGES:
-            if self.store.get(s).status != "completed":
+            if self.store.get(s).status != "completed" or (s == "build_index" and jobs.index_is_behind(self.spark, self.config.compression, self.config.index)):
                 self._run(s)
         return self.status()
 
@@ -72,13 +72,13 @@ class Orchestrator:
 
     def _clear(self, stage: str) -> None:
         c = self.config
-        made: dict[str, list[Path]] = {
+        made: dict[str, list[str]] = {
             "extract": [c.extraction.output_dir / "tokens", c.extraction.output_dir / "metadata"],
             "compress": [c.compression.output_dir / "records", c.compression.shard_dir, c.compression.model_dir, c.compression.catalog_path],
             "build_index": [c.index.output_path],
         }
         for p in made[stage]:
-            shutil.rmtree(p, ignore_errors=True)
+            delete(self.spark, str(p))
 
     def _execute(self, stage: str) -> str:
         c = self.config

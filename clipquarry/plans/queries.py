@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -324,6 +326,26 @@ def compressed_tokens(spark, sf):
     return compress.compressed(fx.tokens(spark, sf), fx.model(spark, sf)).select("clip_id", "token_pos", "centroid_id", "packed")
 
 
+@query("projected_tokens_kernel", "SELECT clip_id, token_pos, d AS dim, round(y[d + 1], 6) AS x FROM v_y, (SELECT unnest(range(8)) AS d)")
+def projected_tokens_kernel(spark, sf):
+    """Projection by matrix products, as large models take it: V2."""
+    rows = compress.projected(fx.tokens(spark, sf), fx.model(spark, sf, levels=False), kernel=True)
+    return rows.select("clip_id", "token_pos", F.posexplode("y").alias("dim", "x")).select("clip_id", "token_pos", F.col("dim").cast("long").alias("dim"), r6(F.col("x")).alias("x"))
+
+
+@query("nearest_centroid_kernel", "SELECT clip_id, token_pos, centroid_id::INT AS centroid_id FROM v_assigned")
+def nearest_centroid_kernel(spark, sf):
+    """The codebook entry of each token by matrix products: J7."""
+    m = fx.model(spark, sf, levels=False)
+    return compress.assigned(compress.projected(fx.tokens(spark, sf), m), m.centroids, kernel=True).select("clip_id", "token_pos", "centroid_id")
+
+
+@query("compressed_tokens_kernel", "SELECT clip_id, token_pos, centroid_id::INT AS centroid_id, packed FROM v_packed")
+def compressed_tokens_kernel(spark, sf):
+    """Compression in Arrow batches: V5, V6, V8, D8."""
+    return compress.compressed(fx.tokens(spark, sf), fx.model(spark, sf), kernel=True).select("clip_id", "token_pos", "centroid_id", "packed")
+
+
 @query("clip_records", "SELECT clip_id, string_agg(centroid_id, ',' ORDER BY token_pos) AS centroids, string_agg(packed, '' ORDER BY token_pos) AS residuals FROM v_packed GROUP BY clip_id")
 def clip_records(spark, sf):
     """One record per clip, as shards hold them: D8, D9."""
@@ -349,6 +371,14 @@ def decompressed_tokens(spark, sf):
     return rows.select("clip_id", "token_pos", F.posexplode("vec").alias("dim", "x")).withColumn("x", r6(F.col("x")))
 
 
+@query("decompressed_tokens_kernel", f"SELECT clip_id, token_pos, dim::INT AS dim, round(back, 6) AS x FROM ({_BACK})")
+def decompressed_tokens_kernel(spark, sf):
+    """Vectors back from records in Arrow batches: V9, J6."""
+    m = fx.model(spark, sf)
+    rows = compress.decompressed(compress.compressed(fx.tokens(spark, sf), m, kernel=True), m, kernel=True)
+    return rows.select("clip_id", "token_pos", F.posexplode("vec").alias("dim", "x")).withColumn("x", r6(F.col("x")))
+
+
 @query("reconstruction", f"""SELECT clip_id, round(avg(s), 6) AS cosine FROM (SELECT clip_id, token_pos, sum(y * back) / CASE WHEN sum(y * y) * sum(back * back) = 0 THEN 1 ELSE sqrt(sum(y * y)) * sqrt(sum(back * back)) END AS s
     FROM ({_BACK}) GROUP BY ALL) GROUP BY clip_id""")
 def reconstruction(spark, sf):
@@ -492,7 +522,18 @@ def trajectory_bounds(spark, sf):
     return trajectory.bounds(fx.steps(spark, sf), EPISODE)
 
 
-@query("trajectory_paths")
+#: The way back from the last cell; of equal predecessors a step back in the query comes first, then in the other series, then in both.
+_PATHS = """, t AS (SELECT episode_id FROM f ORDER BY distance, episode_id LIMIT 3),
+    acc AS (SELECT episode_id, i - 1 AS i, prev FROM d JOIN t USING (episode_id) WHERE j = 1),
+    b AS (SELECT episode_id, n AS i, m AS j, 0 AS back FROM s JOIN t USING (episode_id)
+      UNION ALL SELECT b.episode_id, CASE WHEN y.prev[b.j + 1] <= least(x.prev[b.j], y.prev[b.j]) OR x.prev[b.j] > y.prev[b.j] THEN b.i - 1 ELSE b.i END,
+        CASE WHEN y.prev[b.j + 1] <= least(x.prev[b.j], y.prev[b.j]) THEN b.j ELSE b.j - 1 END, back + 1
+      FROM b JOIN acc x ON x.episode_id = b.episode_id AND x.i = b.i JOIN acc y ON y.episode_id = b.episode_id AND y.i = b.i - 1 WHERE b.i > 0 AND b.j > 0),
+    g AS (SELECT *, max(back) OVER (PARTITION BY episode_id) - back AS k FROM b WHERE i > 0 AND j > 0)
+    SELECT episode_id, k::INT AS k, (i - 1)::INT AS q, (j - 1)::INT AS c FROM g"""
+
+
+@query("trajectory_paths", f"{_DTW}{_PATHS}", recursive=True)
 def trajectory_paths(spark, sf):
     """The aligned steps of the ranked episodes: W5."""
     s = fx.steps(spark, sf)
@@ -528,18 +569,32 @@ def validation_sample(spark, sf):
     return ids.withColumn("place", F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit("0"), F.col("clip_id").cast("string"))), "clip_id")).cast("long"))  # 100 rows
 
 
-@query("index_recall")
-def index_recall(spark, sf):
-    """An index of inverted lists, built, reopened and held against exact search: I1, I2, I3, S15."""
-    from ..work import work_dir
+def _index(spark, sf, probes: int) -> index.Index:
+    """An index of 16 lists, built, and opened again as a search opens it."""
+    from ..work import passing, work_dir
+
+    path = passing(spark, f"{work_dir(spark)}/index/{uuid.uuid4().hex}")
+    index.Index.build(fx.vectors(spark, sf), path, lists=16, probes=probes, vec="vec")
+    return index.Index.open(spark, path, probes=probes)
 
-    path = f"{work_dir(spark)}/index_{abs(hash(sf))}"
+
+@query("index_search", """SELECT b.clip_id AS query_id, a.clip_id, round(list_cosine_similarity(a.vec, b.vec), 6) AS score, row_number() OVER (PARTITION BY b.clip_id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 6) DESC, a.clip_id)::INT AS rank
+    FROM v_vectors a, v_vectors b WHERE b.clip_id % 20 = 0 QUALIFY rank <= 10""")
+def index_search(spark, sf):
+    """All lists of an index asked: what it holds is whole, and its answer the exact one: I1, S15."""
+    asked = fx.vectors(spark, sf).where("clip_id % 20 = 0").withColumnRenamed("clip_id", "query_id")
+    return _index(spark, sf, 16).knn(asked, 10)
+
+
+@query("index_recall", "SELECT 16::INT AS lists, 12::INT AS probes, true AS recall_of_nine_tenths")
+def index_recall(spark, sf):
+    """Some lists of an index asked, held against exact search; measured, recorded and read again: I1, I2, I3, S15."""
     rows = fx.vectors(spark, sf)
-    index.Index.build(rows, path, lists=16, probes=12, vec="vec")
-    opened = index.Index.open(spark, path, probes=12)
+    opened = _index(spark, sf, 12)
     asked = rows.where("clip_id % 20 = 0").withColumnRenamed("clip_id", "query_id")
-    share = index.recall(opened.knn(asked, 10), search.knn_join(asked, rows, 10), 10)
-    return spark.createDataFrame([(16, 12, round(share, 6))], "lists int, probes int, recall double")
+    index.record(spark, opened.path, 12, index.recall(opened.knn(asked, 10), search.knn_join(asked, rows, 10), 10), rows.count())
+    probes, share, _ = index.recorded(spark, opened.path)
+    return spark.createDataFrame([(16, probes, share >= 0.9)], "lists int, probes int, recall_of_nine_tenths boolean")
 
 
 @query("fitted_compressor")

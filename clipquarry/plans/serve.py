@@ -8,8 +8,11 @@ import threading
 import time
 from base64 import b64decode
 from collections.abc import Callable
+from dataclasses import dataclass
+from email.parser import BytesParser
+from email.policy import HTTP
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from urllib.parse import unquote, urlsplit
+from urllib.parse import parse_qs, unquote, urlsplit
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,14 +26,28 @@ from . import jobs
 
 
 class Engine:
-    """Searches over the artefacts of a pipeline. encode makes of an image the tokens of a clip (tokens x dimensions), before projection."""
+    """Searches over the artefacts of a pipeline. encode makes of an image the tokens of a clip (tokens x dimensions), before projection.
+
+    Coarse search is exact. It goes through the index only where that has a recorded recall above index.LEAST_RECALL, with no more probes than are asked for here, over
+    all the vectors that there are now. A search of the index that finds fewer than it was asked for is made again exactly.
+    """
 
     def __init__(self, spark: SparkSession, compression: Compression, index_path: str, encode: Callable[[bytes], np.ndarray], grid: Grid, probes: int = 16, coarse_k: int = 100) -> None:
         self.spark, self.compression, self.encode, self.grid, self.coarse_k = spark, compression, encode, grid, coarse_k
         self.catalog = spark.read.parquet(str(compression.catalog_path))
         self.model = compress.Model.load(spark, str(compression.model_dir))
-        self.index = index.Index.open(spark, index_path, probes)
         self.clips = self.catalog.count()
+        known = index.recorded(spark, index_path)
+        good = known is not None and known[1] > index.LEAST_RECALL and known[0] <= probes and known[2] == jobs.coarse_vectors(spark, compression.output_dir).count()
+        self.index = index.Index.open(spark, index_path, probes) if good else None
+
+    def nearest(self, coarse: list[float], k: int) -> DataFrame:
+        """(clip_id, score, rank) of the k nearest clips."""
+        if self.index is not None:
+            found = self.index.search(self.spark, coarse, k)
+            if found.count() >= min(k, self.clips):
+                return found
+        return search.coarse_search(jobs.coarse_vectors(self.spark, self.compression.output_dir), coarse, k)
 
     def query(self, image: bytes) -> tuple[list[list[float]], list[float]]:
         """(tokens of the middle slice, coarse vector) of an image, projected."""
@@ -51,7 +68,7 @@ class Engine:
         tokens, coarse = self.query(image)
         if box is not None:
             tokens = [tokens[i] for i in box.patches(self.grid)]
-        near = self.index.search(self.spark, coarse, min(coarse_k, max(self.clips, 1)))
+        near = self.nearest(coarse, min(coarse_k, max(self.clips, 1)))
         return search.reranked(near, jobs.token_table(self.spark, self.compression, near), tokens, top_k, kernel=True)
 
     def search_image(self, image: bytes, top_k: int = 10, coarse_k: int = 100) -> DataFrame:
@@ -107,7 +124,7 @@ class Service:
         return rows(self.engine.episode(episode_id))[0]
 
     def health(self) -> dict:
-        return {"status": "ok", "clips": self.engine.clips, "model_id": self.model_id, "device": self.device, "uptime_seconds": round(time.time() - self._began, 3), "max_concurrent_queries": self.limit}
+        return {"status": "ok", "indexed_clips": self.engine.clips, "model_id": self.model_id, "device": self.device, "uptime_seconds": round(time.time() - self._began, 3), "max_concurrent_queries": self.limit}
 
 
 def rows(result) -> list[dict]:
@@ -115,16 +132,99 @@ def rows(result) -> list[dict]:
     return [r.asDict() for r in result.collect()] if isinstance(result, DataFrame) else list(result)
 
 
+class Invalid(Exception):
+    """A request that lacks a field, or has one of the wrong kind: 422."""
+
+
+#: Media types of uploads; one that says nothing of itself is taken as well.
+MEDIA_TYPES = ("image/jpeg", "image/png", "image/webp", "application/octet-stream")
+
+
 def status_of(error: BaseException) -> int:
-    if isinstance(error, MemoryError):
+    if isinstance(error, Invalid):
+        return 422
+    if isinstance(error, MemoryError) or isinstance(error, RuntimeError) and "out of memory" in str(error).lower():
         return 503
     if isinstance(error, KeyError | FileNotFoundError):
         return 404
-    return 422 if isinstance(error, json.JSONDecodeError) else 400 if isinstance(error, ValueError | TypeError) else 500
+    return 400 if isinstance(error, ValueError) else 500
+
+
+def detail_of(error: BaseException) -> str:
+    return str(error.args[0]) if isinstance(error, KeyError) and error.args else str(error)
+
+
+@dataclass(frozen=True)
+class Upload:
+    data: bytes
+    media_type: str | None = None
+
+
+def fields_of(body: bytes, content_type: str, query: str) -> dict:
+    """What a request carries: the query's values, and the parts of a form (files as Upload) or the members of a JSON object. Images in JSON are base64."""
+    out: dict = {k: v[-1] for k, v in parse_qs(query).items()}
+    if content_type.lower().startswith("multipart/form-data"):
+        form = BytesParser(policy=HTTP).parsebytes(b"Content-Type: " + content_type.encode() + b"\r\n\r\n" + body)
+        if not form.is_multipart():
+            raise Invalid("the form has no parts")
+        for part in form.iter_parts():
+            name = part.get_param("name", header="content-disposition")
+            data = part.get_payload(decode=True) or b""
+            said = part.get_content_type() if part["content-type"] else None
+            out[name] = Upload(data, said) if part.get_filename() is not None or said else data.decode()
+    elif body:
+        try:
+            got = json.loads(body)
+        except ValueError as error:
+            raise Invalid(f"the body is not JSON: {error}") from error
+        if not isinstance(got, dict):
+            raise Invalid("the body is not a JSON object")
+        out |= got
+    return out
+
+
+def number(fields: dict, name: str, default, kind=int, least=1):
+    try:
+        x = kind(fields.get(name, default))
+    except (TypeError, ValueError) as error:
+        raise Invalid(f"{name} is not a number") from error
+    if not x >= least:
+        raise Invalid(f"{name} is at least {least}")
+    return x
+
+
+def picture(fields: dict, name: str) -> bytes:
+    x = fields.get(name)
+    if isinstance(x, Upload):
+        if x.media_type is not None and x.media_type.lower() not in MEDIA_TYPES:
+            raise ValueError("an image is JPEG, PNG or WebP")
+        return x.data
+    if not isinstance(x, str):
+        raise Invalid(f"{name} is missing")
+    try:
+        return b64decode(x, validate=True)
+    except ValueError as error:
+        raise Invalid(f"{name} is not base64") from error
+
+
+def region(fields: dict) -> Box:
+    x = fields.get("bbox")
+    try:
+        x = json.loads(x) if isinstance(x, str) else x
+        edges = {k: x[k] for k in ("row_start", "row_end", "col_start", "col_end")}
+        if any(isinstance(v, bool) or int(v) != v for v in edges.values()):
+            raise ValueError("the edges are whole numbers")
+        return Box(**{k: int(v) for k, v in edges.items()})
+    except (KeyError, TypeError, ValueError) as error:
+        raise Invalid(f"bbox is an object with row_start, row_end, col_start and col_end: {error}") from error
 
 
 def handler(service: Service, log: Callable[[str, str, int, float], None] | None = None) -> type[BaseHTTPRequestHandler]:
-    """JSON over HTTP: POST /search/{image,spatial,trajectory,transition}, GET /episodes/{id} and /health. Images come in base64."""
+    """POST /search/{image,spatial,trajectory,transition}, GET /episodes/{id} and /health; searches answer with a list.
+
+    Images are files of a multipart form or base64 in a JSON object; numbers may stand in the query. Statuses: 422 for a field that is missing or of the wrong
+    kind, 400 for an image or value that cannot be used, 404 for what is not there, 503 out of memory.
+    """
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self, work: Callable[[], object]) -> None:
@@ -133,7 +233,7 @@ def handler(service: Service, log: Callable[[str, str, int, float], None] | None
                 try:
                     body, code = work(), 200
                 except Exception as error:
-                    code, body = status_of(error), {"detail": str(error)}
+                    code, body = status_of(error), {"detail": detail_of(error)}
                 data = json.dumps(body, default=str).encode()
                 self.send_response(code)
                 self.send_header("Content-Type", "application/json")
@@ -156,21 +256,23 @@ def handler(service: Service, log: Callable[[str, str, int, float], None] | None
         def do_POST(self) -> None:
             self._answer(self._search)
 
-        def _search(self) -> dict:
-            form = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
-            kind = urlsplit(self.path).path
-            top_k = int(form.get("top_k", 10))
-            image = lambda name: b64decode(form[name]) if name in form else (_ for _ in ()).throw(ValueError(f"{name} is missing"))
-            if kind == "/search/image":
-                return {"results": service.image(image("image"), top_k, int(form.get("coarse_k", 100)))}
-            if kind == "/search/spatial":
-                box = form.get("bbox")
-                return {"results": service.spatial(image("image"), Box(**(json.loads(box) if isinstance(box, str) else box)), top_k)}
-            if kind == "/search/trajectory":
-                return {"results": service.trajectory(form["episode_id"], top_k)}
-            if kind == "/search/transition":
-                return {"results": service.transition(image("state_a"), image("state_b"), top_k, float(form.get("max_gap_seconds", 30.0)))}
-            raise KeyError(kind)
+        def _search(self) -> list[dict]:
+            url = urlsplit(self.path)
+            body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+            if url.path not in ("/search/image", "/search/spatial", "/search/trajectory", "/search/transition"):
+                raise KeyError(url.path)
+            given = fields_of(body, self.headers.get("Content-Type") or "", url.query)
+            top_k = number(given, "top_k", 10)
+            if url.path == "/search/image":
+                return service.image(picture(given, "image"), top_k, number(given, "coarse_k", 100))
+            if url.path == "/search/spatial":
+                return service.spatial(picture(given, "image"), region(given), top_k)
+            if url.path == "/search/transition":
+                return service.transition(picture(given, "state_a"), picture(given, "state_b"), top_k, number(given, "max_gap_seconds", 30.0, float, 0))
+            episode = given.get("episode_id")
+            if not isinstance(episode, str) or not episode:
+                raise Invalid("episode_id is missing")
+            return service.trajectory(episode, top_k)
 
         def log_message(self, *args) -> None:
             pass

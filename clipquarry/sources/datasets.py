@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.clips import ClipSpec, nested
+from ..work import passing, work_dir
+from .images import load
 
 #: A frame as the operators take it. Declared, never inferred: a batch without any instruction must not lose the column.
 FRAME_SCHEMA = T.StructType([
@@ -39,7 +43,11 @@ def _checked(cls, raw: dict):
 
 @dataclass(frozen=True)
 class Dataset:
-    """One source of frames. image_key and language_key are dotted paths; path is where its frames lie, as Parquet."""
+    """One source of frames. image_key and language_key are dotted paths.
+
+    path is where its frames lie, in a format that Spark reads. A remote or iterable source is a plug-in: source is ``module:attribute`` of a function that takes
+    the session and the dataset and returns its frames, as a DataFrame or as an iterable of mappings, in order.
+    """
 
     repo_id: str
     image_key: str
@@ -50,6 +58,8 @@ class Dataset:
     clip_length: int = 64
     clip_stride: int = 32
     path: str | None = None
+    format: str = "parquet"
+    source: str | None = None
 
     def __post_init__(self) -> None:
         if not self.repo_id or not self.image_key:
@@ -76,46 +86,55 @@ def load_all(directory: Path) -> list[Dataset]:
     return [Dataset.from_yaml(p) for p in sorted(Path(directory).iterdir()) if p.suffix in (".yaml", ".yml") and p.is_file()]
 
 
+class Place(str):
+    """A folder as a string, local or a URI of any file system that Spark knows; ``/`` goes into it."""
+
+    def __truediv__(self, name: str) -> Place:
+        return Place(f"{self.rstrip('/')}/{name}")
+
+
 @dataclass(frozen=True)
 class Extraction:
     encoder: str = ""
+    processor: str = ""
+    device: str = "cpu"
     batch_size: int = 1
     flush_size: int = 100
-    output_dir: Path = Path()
+    output_dir: Place = Place(".")
 
 
 @dataclass(frozen=True)
 class Compression:
-    raw_dir: Path = Path()
-    output_dir: Path = Path()
+    raw_dir: Place = Place(".")
+    output_dir: Place = Place(".")
     sample_size: int = 500_000
     width: int = 128
     n_centroids: int = 32_768
     seed: int = 0
 
     @property
-    def model_dir(self) -> Path:
+    def model_dir(self) -> Place:
         return self.output_dir / "model"
 
     @property
-    def shard_dir(self) -> Path:
+    def shard_dir(self) -> Place:
         return self.output_dir / "shards"
 
     @property
-    def catalog_path(self) -> Path:
+    def catalog_path(self) -> Place:
         return self.output_dir / "clips"
 
 
 @dataclass(frozen=True)
 class IndexSettings:
-    output_path: Path = Path()
+    output_path: Place = Place(".")
     lists: int = 64
     probes: int = 16
 
 
 @dataclass(frozen=True)
 class Serving:
-    data_dir: Path = Path()
+    data_dir: Place = Place(".")
     host: str = "127.0.0.1"
     port: int = 8000
     encoder: str = ""
@@ -140,7 +159,7 @@ class Pipeline:
     """All settings. Relative paths are taken from the file's folder; directories that are not named lie under output_dir."""
 
     datasets: list[Dataset]
-    output_dir: Path
+    output_dir: Place
     pipeline_db: Path
     extraction: Extraction = field(default_factory=Extraction)
     compression: Compression = field(default_factory=Compression)
@@ -153,7 +172,8 @@ class Pipeline:
         raw, base = read_mapping(path), path.parent
         if "datasets" not in raw:
             raise KeyError("datasets")
-        at = lambda p: Path(p) if Path(p).is_absolute() else (base / p).resolve()
+        file = lambda p: Path(p) if Path(p).is_absolute() else (base / p).resolve()
+        at = lambda p: Place(p) if "://" in str(p) else Place(file(p))
         out = at(raw.get("output_dir", base.parent / "artifacts" / "pipeline"))
         part = lambda name: dict(raw.get(name) or {})
         e, c, i, s = part("extraction"), part("compression"), part("index"), part("serving")
@@ -163,14 +183,54 @@ class Pipeline:
         i["output_path"] = at(i.get("output_path", c["output_dir"] / "index"))
         s["data_dir"] = at(s.get("data_dir", c["output_dir"]))
         s.setdefault("encoder", e.get("encoder", ""))
-        sets = [Dataset.from_yaml(at(p)) for p in raw["datasets"]]
+        sets = [Dataset.from_yaml(file(p)) for p in raw["datasets"]]
         if not sets:
             raise ValueError("a pipeline has at least one dataset")
-        db = at(raw.get("pipeline_db", out / "checkpoints" / "pipeline.sqlite3"))
+        # The task store is a local file of the driver, also where the output is not.
+        db = file(raw.get("pipeline_db", (base if "://" in out else Path(out)) / "checkpoints" / "pipeline.sqlite3"))
         return cls(sets, out, db, _checked(Extraction, e), _checked(Compression, c), _checked(IndexSettings, i), _checked(Serving, s))
 
 
+#: Frames of an iterable that the driver holds at a time.
+CHUNK = 1024
+
+
+def landed(spark: SparkSession, samples: Iterable[Mapping], dataset: Dataset) -> DataFrame:
+    """The frames of an iterable, written to the shared folder in chunks as they come; arrival_seq is their place in it."""
+    path = passing(spark, f"{work_dir(spark)}/frames/{uuid.uuid4().hex}")
+    rows, at = [], 0
+
+    def flush() -> None:
+        spark.createDataFrame(rows, FRAME_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        rows.clear()
+
+    for at, sample in enumerate(samples):
+        image = picked(sample, dataset.image_key)
+        frame, words = sample.get("frame_index"), picked(sample, dataset.language_key) if dataset.language_key else None
+        rows.append((int(sample["episode_index"]), None if frame is None else int(frame), None if image is None else bytearray(image), None if words is None else str(words), at))
+        if len(rows) == CHUNK:
+            flush()
+    if rows or not at:
+        flush()
+    return spark.read.schema(FRAME_SCHEMA).parquet(path)
+
+
+def picked(sample: Mapping, key: str):
+    """The value at a dotted path of nested mappings; a flat key of that very name comes first."""
+    if key in sample:
+        return sample[key]
+    found = sample
+    for part in key.split("."):
+        if not isinstance(found, Mapping) or part not in found:
+            raise KeyError(key)
+        found = found[part]
+    return found
+
+
 def read_frames(spark: SparkSession, dataset: Dataset) -> DataFrame:
+    if dataset.source:
+        made = load(dataset.source)(spark, dataset)
+        return dataset.frames(made) if isinstance(made, DataFrame) else landed(spark, made, dataset)
     if not dataset.path:
-        raise ValueError(f"{dataset.repo_id} has no path")
-    return dataset.frames(spark.read.parquet(dataset.path))
+        raise ValueError(f"{dataset.repo_id} has neither path nor source")
+    return dataset.frames(spark.read.format(dataset.format).load(dataset.path))

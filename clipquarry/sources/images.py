@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from importlib import import_module
+from inspect import signature
 
 import numpy as np
 
@@ -18,6 +19,14 @@ def load(path: str) -> Callable:
     return getattr(import_module(module), name)
 
 
+def model_of(encoder: str, device: str = "cpu"):
+    """The model that the function at ``module:attribute`` returns; as far as it takes them, it gets device and dtype (float32 on a CPU, float16 elsewhere)."""
+    make = load(encoder)
+    takes = signature(make).parameters
+    offer = {"device": device, "dtype": "float32" if device.startswith("cpu") else "float16"}
+    return make(**{k: v for k, v in offer.items() if k in takes})
+
+
 def decode_image(data: bytes, decoder: Callable[[bytes], np.ndarray]) -> np.ndarray:
     """Height x width x 3, from bytes that must be an image of at least LEAST_SIDE on either side."""
     if not data:

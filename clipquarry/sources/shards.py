@@ -8,14 +8,16 @@ The magic is a parameter: give the 8 bytes that your files start with.
 
 from __future__ import annotations
 
-import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -125,10 +127,20 @@ def fetch(records: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.withColumn("residuals", there)
 
 
+def file_system(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in path or path.startswith("file:"):
+        fs, at = FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    else:
+        fs, at = LocalFileSystem(), path
+    return fs, at.rstrip("/")
+
+
 class ShardSource(DataSource):
     """``df.write.format("clip_shards").mode("append").save(folder)``: rows of one shard must lie in one partition, in order.
 
-    The folder is one that all executors reach as a file system. Each shard is written beside its place and renamed.
+    The folder is one that all executors reach: a path that they share, or a URI (``hdfs://``, ``s3://``, ``gs://``, ``file://``) of a file system that Arrow opens. Each shard is written beside its place and
+    renamed when all are there.
     """
 
     @classmethod
@@ -154,35 +166,39 @@ class _Writer(DataSourceWriter):
         self.suffix = options.get("suffix", SUFFIX)
 
     def write(self, rows) -> _Written:
-        os.makedirs(self.path, exist_ok=True)
-        shards: dict[int, list] = {}
-        for r in rows:
-            shards.setdefault(r["shard_id"], []).append(r)
+        """Rows come shard by shard; one shard is held at a time."""
+        fs, folder = file_system(self.path)
+        fs.create_dir(folder, recursive=True)
         out = []
-        for shard, found in shards.items():
-            found.sort(key=lambda r: r["shard_offset"])
-            ids = np.array([r["centroid_ids"] for r in found])
-            if ids.dtype == object or ids.ndim != 2:
+        for shard, group in groupby(rows, lambda r: r["shard_id"]):
+            found = sorted(group, key=lambda r: r["shard_offset"])
+            widths = {len(r["centroid_ids"]) for r in found}
+            if len(widths) != 1:
                 raise ValueError("all clips of a shard have the same number of tokens")
+            ids = np.array([r["centroid_ids"] for r in found])
             residuals = np.array([np.frombuffer(r["residuals"], np.uint8).reshape(ids.shape[1], -1) for r in found])
             data = encode(ids, residuals, np.array([r["coarse_vector"] for r in found], np.float32), self.magic)
-            final = os.path.join(self.path, f"shard_{shard:06d}{self.suffix}")
-            temporary = f"{final}.{os.getpid()}.tmp"
-            with open(temporary, "wb") as f:
+            final = f"{folder}/shard_{shard:06d}{self.suffix}"
+            temporary = f"{final}.{uuid.uuid4().hex}.tmp"
+            with fs.open_output_stream(temporary) as f:
                 f.write(data)
             out.append((temporary, final))
         return _Written(out)
 
     def commit(self, messages) -> None:
+        fs, _ = file_system(self.path)
         for m in messages:
             for temporary, final in m.files if m else ():
-                os.replace(temporary, final)
+                if fs.get_file_info(final).type != FileType.NotFound:
+                    fs.delete_file(final)
+                fs.move(temporary, final)
 
     def abort(self, messages) -> None:
+        fs, _ = file_system(self.path)
         for m in messages:
             for temporary, _ in m.files if m else ():
-                if os.path.exists(temporary):
-                    os.remove(temporary)
+                if fs.get_file_info(temporary).type != FileType.NotFound:
+                    fs.delete_file(temporary)
 
 
 def write(records: DataFrame, path: str, magic: bytes = MAGIC, suffix: str = SUFFIX) -> None:

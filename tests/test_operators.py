@@ -130,6 +130,27 @@ def test_fitted_model_keeps_clustered_tokens(spark, tmp_path):
     assert np.allclose(back.centroids, m.centroids) and np.allclose(back.levels, m.levels) and np.allclose(back.mean, m.mean)
 
 
+def test_wide_tokens(spark):
+    """As many dimensions as real encoders have: nothing is written out as columns, and the projection is what PCA says."""
+    t = clustered(spark, 480, 6, d=1280, seed=3).persist()
+    m = compress.fit(t, width=128, n_centroids=64)
+    assert len(m.mean) == 1280 and m.width == 128
+    x = np.array([r.vec for r in t.orderBy("clip_id", "token_pos").collect()])
+    assert np.allclose(m.mean, x.mean(0)) and np.allclose(np.array(m.components) @ np.array(m.components).T, np.eye(128), atol=1e-6)
+    y = np.array([r.y for r in compress.projected(t, m).orderBy("clip_id", "token_pos").collect()])
+    assert np.allclose(y, (x - x.mean(0)) @ np.array(m.components).T)
+    assert compress.fidelity(t, m).agg(F.avg("cosine")).first()[0] > 0.9
+
+
+def test_samples_move_keys_only(spark):
+    rows = spark.range(3000).selectExpr("id % 7 AS batch", "id AS pos", "array_repeat(cast(id AS double), 64) AS vec")
+    got = compress.sampled(rows, 100)
+    assert got.columns == rows.columns and got.count() == 100 and {x.batch: x["count"] for x in got.groupBy("batch").count().collect()}.keys() == set(range(7))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window") :]
+    assert "vec" not in window.split("Relation")[0].split("Range")[0]
+
+
 def test_model_limits(spark):
     with pytest.raises(ValueError):
         compress.fit(clustered(spark, 64, 2), width=6, n_centroids=2)

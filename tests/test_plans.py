@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from clipquarry.plans import cli, jobs
 from clipquarry.plans.control import TaskStore
 from clipquarry.plans.orchestrator import STAGES, Orchestrator, human_bytes, seconds_left, stage_name
+from clipquarry.operators import index
 from clipquarry.plans.serve import Engine, Service, handler
 from clipquarry.operators.tokens import Box, Grid
 from clipquarry.sources import shards
-from clipquarry.sources.datasets import Dataset, Pipeline, load_all
-from clipquarry.sources.images import decode_image, load
+from clipquarry.sources.datasets import Dataset, Pipeline, load_all, read_frames
+from clipquarry.sources.images import decode_image, load, model_of
 
 
 def toy_encoder():
@@ -53,7 +54,7 @@ def test_whole_pipeline(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.syspath_prepend(str(Path(__file__).parent))
     at = write_config(tmp_path, spark)
     config = Pipeline.from_yaml(at)
-    assert config.compression.raw_dir == config.extraction.output_dir and config.output_dir == (tmp_path / "out").resolve()
+    assert config.compression.raw_dir == config.extraction.output_dir and config.output_dir == str((tmp_path / "out").resolve())
     work = Orchestrator(spark, config)
     status = work.run()
     assert [t["status"] for t in status["tasks"]] == ["completed"] * 3 and status["clips"] == 42 and status["seconds_left"] == 0.0
@@ -95,10 +96,121 @@ def test_whole_pipeline(spark, tmp_path, capsys, monkeypatch):
     with pytest.raises(KeyError):
         engine.search_trajectory("hub/none")
 
+    # Exact unless the index is known to be good: fewer probes than the recall was recorded with, a poor recall or another number of vectors rule it out.
+    at_index = str(config.index.output_path)
+    assert engine.index is not None and index.recorded(spark, at_index) == (4, 1.0, 42)
+    new = lambda probes: Engine(spark, config.compression, at_index, engine.encode, Grid(2, 2), probes)
+    exact = new(2)
+    assert exact.index is None and [tuple(x) for x in exact.search_image(image, 5, 42).collect()] == [tuple(x) for x in hits]
+    query = exact.query(image)[1]
+    assert [tuple(x) for x in exact.nearest(query, 42).orderBy("rank").collect()] == [tuple(x) for x in engine.nearest(query, 42).orderBy("rank").collect()]
+    index.record(spark, at_index, 4, 0.9, 42)
+    assert new(4).index is None
+    index.record(spark, at_index, 1, 0.99, 42)
+    few = new(1)  # one list has too few clips for this search, which is then exact
+    assert few.index is not None and few.nearest(query, 42).count() == 42
+    # A completed index that lacks records is built again.
+    index.record(spark, at_index, 4, 1.0, 41)
+    assert new(4).index is None and work.run()["clips"] == 42 and index.recorded(spark, at_index)[2] == 42
+
     work.run_stage("compress")
     assert [t["status"] for t in work.status()["tasks"]] == ["completed", "completed", "pending"]
 
 
+def test_what_encoders_return():
+    x = np.arange(6, dtype=np.float64).reshape(1, 2, 3)
+
+    class Tensor:
+        def __init__(self):
+            self.done = []
+
+        def __getattr__(self, name):
+            if name not in ("detach", "cpu", "float"):
+                raise AttributeError(name)
+            return lambda: (self.done.append(name), self)[1]
+
+        def __array__(self, dtype=None, copy=None):
+            return x.astype(dtype or x.dtype)
+
+    class Out:
+        vision_features = x
+
+    class Both(Out):
+        last_hidden_state = x + 1
+
+    for out in (x, (x, None), {"last_hidden_state": x, "vision_features": x + 1}, {"vision_features": x}, Out(), ({"last_hidden_state": x},), Tensor()):
+        got = jobs.features_of(out)
+        assert got.dtype == np.float32 and (got == x).all()
+    assert (jobs.features_of(Both()) == x + 1).all()
+    with pytest.raises(ValueError):
+        jobs.features_of({"logits": x})
+
+
+def test_processors():
+    images = [b"a", b"b"]
+    assert jobs.prepared(None, images) is images
+    clip = np.zeros((2, 3, 4, 4))
+    for made in (clip, clip[None], {"pixel_values": clip[None]}, {"pixel_values_videos": clip}, {"pixel_values": None, "pixel_values_videos": clip[None]}):
+        assert jobs.prepared(lambda x, made=made: made, images).shape == clip.shape
+    assert jobs.prepared(lambda x: np.zeros((2, 2, 3, 4, 4)), images).shape == (2, 2, 3, 4, 4)
+    with pytest.raises(ValueError):
+        jobs.prepared(lambda x: {"other": clip}, images)
+
+
+def on_a_device(device, dtype):
+    return device, dtype
+
+
+def test_models_by_device(monkeypatch):
+    monkeypatch.syspath_prepend(str(Path(__file__).parent))
+    assert model_of("test_plans:on_a_device") == ("cpu", "float32") and model_of("test_plans:on_a_device", "cuda:1") == ("cuda:1", "float16")
+    assert callable(model_of("test_plans:toy_encoder", "cuda"))
+
+
+def samples(spark, dataset):
+    """A source that yields frames one by one, as a remote one does."""
+    for e in range(2):
+        for f in range(600):
+            yield {"episode_index": e, "observation": {"picture": bytes([e, f % 256])}, "words.said": None if f % 2 else f"do {e}"}
+
+
+def tables(spark, dataset):
+    return spark.range(3).selectExpr("id AS episode_index", "cast('x' AS binary) AS picture", "id AS arrival_seq")
+
+
+def test_sources_as_plug_ins(spark, monkeypatch, tmp_path):
+    monkeypatch.syspath_prepend(str(Path(__file__).parent))
+    d = Dataset("hub/x", "observation.picture", 4, language_key="words.said", source="test_plans:samples")
+    got = read_frames(spark, d).orderBy("arrival_seq").collect()
+    assert len(got) == 1200 and [x.arrival_seq for x in got] == list(range(1200)) and got[700].episode_index == 1 and bytes(got[700].image) == bytes([1, 100])
+    assert got[1].language is None and got[0].language == "do 0" and got[0].frame_index is None
+    assert read_frames(spark, Dataset("hub/x", "picture", 4, source="test_plans:tables")).count() == 3
+    spark.range(2).selectExpr("id AS episode_index", "'x' AS picture", "id AS arrival_seq").write.json(str(tmp_path / "j"))
+    assert read_frames(spark, Dataset("hub/x", "picture", 4, path=str(tmp_path / "j"), format="json")).count() == 2
+    with pytest.raises(ValueError):
+        read_frames(spark, Dataset("hub/x", "picture", 4))
+    with pytest.raises(KeyError):
+        read_frames(spark, Dataset("hub/x", "no.picture", 4, source="test_plans:samples"))
+
+
+def test_places(tmp_path):
+    (tmp_path / "sets").mkdir()
+    (tmp_path / "sets" / "a.yaml").write_text("repo_id: hub/a\nimage_key: i\nsource_fps: 15\n")
+    (tmp_path / "p.yaml").write_text("datasets: [sets/a.yaml]\noutput_dir: s3a://bucket/run\n")
+    c = Pipeline.from_yaml(tmp_path / "p.yaml")
+    assert c.compression.model_dir == "s3a://bucket/run/compression/model" and c.index.output_path == "s3a://bucket/run/compression/index"
+    assert c.pipeline_db == (tmp_path / "checkpoints" / "pipeline.sqlite3").resolve()
+
+
+def test_shards_by_uri(spark, tmp_path):
+    rows = [(s, o, [1, 2], bytearray([s, o, 3, 4]), [0.5, float(o)]) for s in range(3) for o in range(4)]
+    for path in (str(tmp_path / "a"), f"file://{tmp_path}/b", f"file:{tmp_path}/c"):
+        for _ in range(2):  # again over what is there
+            shards.write(spark.createDataFrame(rows, shards.RECORDS), path)
+        assert sorted((x.shard_id, x.shard_offset, bytes(x.residuals)) for x in shards.read(spark, path).collect()) == [(s, o, bytes(r)) for s, o, _, r, _ in rows]
+    assert not list((tmp_path / "a").glob("*.tmp"))
+
+
 def test_failure_and_resume(spark, tmp_path, monkeypatch):
     monkeypatch.syspath_prepend(str(Path(__file__).parent))
     config = Pipeline.from_yaml(write_config(tmp_path, spark))
@@ -210,6 +322,9 @@ class FakeEngine:
         time.sleep(0.02)
         with self.lock:
             self.active -= 1
+        troubles = {b"broken": ValueError("no image"), b"memory": MemoryError(), b"device": RuntimeError("device: Out of memory"), b"other": RuntimeError("x")}
+        if image in troubles:
+            raise troubles[image]
         return [{"clip_id": len(image), "top_k": top_k}]
 
     def search_spatial(self, image, box, top_k):
@@ -244,17 +359,45 @@ def test_gate_and_http():
         except urllib.error.HTTPError as e:
             return e.code, json.load(e)
 
+    def upload(path, *parts):
+        body = b""
+        for name, data, *kind in parts:
+            file = f'; filename="{name}.png"\r\nContent-Type: {kind[0]}' if kind else ""
+            body += f'--xyz\r\nContent-Disposition: form-data; name="{name}"{file}\r\n\r\n'.encode() + data + b"\r\n"
+        request = urllib.request.Request(base + path, body + b"--xyz--\r\n", {"Content-Type": "multipart/form-data; boundary=xyz"})
+        try:
+            with urllib.request.urlopen(request) as r:
+                return r.status, json.load(r)
+        except urllib.error.HTTPError as e:
+            return e.code, json.load(e)
+
     picture = b64encode(b"abc").decode()
-    assert call("/health")[1]["clips"] == 7
-    assert call("/search/image", {"image": picture}) == (200, {"results": [{"clip_id": 3, "top_k": 10}]})
-    assert call("/search/spatial", {"image": picture, "bbox": json.dumps({"row_start": 0, "row_end": 0, "col_start": 1, "col_end": 2})})[1] == {"results": [{"patches": [1, 2]}]}
-    assert call("/search/spatial", {"image": picture, "bbox": "{"})[0] == 422
-    assert call("/search/transition", {"state_a": picture, "state_b": picture})[1] == {"results": [{"gap": 30.0}]}
-    assert call("/search/trajectory", {"episode_id": "hub/x_1"})[0] == 404
+    box = json.dumps({"row_start": 0, "row_end": 0, "col_start": 1, "col_end": 2})
+    assert call("/health")[1]["indexed_clips"] == 7
+    assert call("/search/image", {"image": picture}) == (200, [{"clip_id": 3, "top_k": 10}])
+    assert call("/search/spatial", {"image": picture, "bbox": box})[1] == [{"patches": [1, 2]}]
+    assert call("/search/transition", {"state_a": picture, "state_b": picture})[1] == [{"gap": 30.0}]
+    assert call("/search/trajectory", {"episode_id": "hub/x_1"}) == (404, {"detail": "hub/x_1"})
     assert call("/episodes/hub/x_1")[1] == {"episode_id": "hub/x_1"}
-    assert call("/search/image", {})[0] == 400
+    # Forms, with numbers in the query; bytes of any value.
+    png = ("image", bytes(range(256)), "image/png")
+    assert upload("/search/image?top_k=2&coarse_k=4", png) == (200, [{"clip_id": 256, "top_k": 2}])
+    assert upload("/search/spatial", png, ("bbox", box.encode()))[1] == [{"patches": [1, 2]}]
+    assert upload("/search/transition?max_gap_seconds=1.5", ("state_a", b"a", "image/jpeg"), ("state_b", b"b", "image/webp"))[1] == [{"gap": 1.5}]
+    wrong = {
+        422: [
+            call("/search/image", {}), call("/search/image", {"image": picture, "top_k": 0}), call("/search/image", {"image": picture, "top_k": "x"}), call("/search/spatial", {"image": picture, "bbox": "{"}),
+            call("/search/spatial", {"image": picture}), call("/search/spatial", {"image": picture, "bbox": {"row_start": 0}}), call("/search/trajectory", {}), call("/search/trajectory", [1]),
+            upload("/search/image?coarse_k=-1", png), upload("/search/transition?max_gap_seconds=-1", ("state_a", b"a", "image/png"), ("state_b", b"b", "image/png")), upload("/search/spatial", png),
+        ],
+        400: [upload("/search/image", ("image", b"x", "text/plain")), call("/search/image", {"image": b64encode(b"broken").decode()})],
+        404: [call("/nowhere", {}), call("/nowhere")],
+        503: [call("/search/image", {"image": b64encode(b"memory").decode()}), call("/search/image", {"image": b64encode(b"device").decode()})],
+        500: [call("/search/image", {"image": b64encode(b"other").decode()})],
+    }
+    assert {code: {x[0] for x in got} for code, got in wrong.items()} == {code: {code} for code in wrong}
     server.shutdown()
-    assert len(seen) == 8
+    assert len(seen) == 9 + sum(map(len, wrong.values()))
 
 
 def test_stages_are_named():
