@@ -12,7 +12,7 @@ is sorted. So a source with a third of all rows is spread over all tasks.
 
 Defined results: a null text has size 0 and takes no words; a null source is a source of its own and
 ranks last; a null doc_id hashes as an empty string; repeated rows are sampled each, equal ranks in
-the order of doc_id and size; an empty table gives an empty result.
+the order of doc_id and size (rows equal in all three are taken together or not at all); a text without words can be copied, and adds nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,8 +60,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return state.withColumn("target", F.when(F.col("__w") * level > F.col("__limit"), F.col("__limit")).otherwise(fair)).drop("__w", "__limit")
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weight: str | None = None, seed: str = "mix", **goal) -> DataFrame:
-    """docs with size, source_size, target, copies (0 to MOST) and taken = copies * size.
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weight: str | None = None, seed: str = "mix", keep_rows: bool = True, **goal) -> DataFrame:
+    """docs with size, source_size, target, copies (0 to MOST) and taken = copies * size. With keep_rows=False, doc_id and source with these, and texts are read once.
 
     weight names a column of positive numbers by which documents of a source differ in expected copies;
     without it all are equal. Weights are scaled to keep the source's target in expectation, and expected
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     plan = plan.select(F.col("source").alias("p_source"), "source_size", "target", "factor", F.ceil(F.col("n") / BUCKET).alias("buckets"))
     ranked = ranks(thin, plan, seed, most)
     plan = written(plan.join(ends(ranked), F.col("p_source").eqNullSafe(F.col("e_source")), "left").drop("e_source"))
-    rows = ranks(base, plan, seed, most)
+    rows = ranks(base if keep_rows else thin.withColumn("row", F.struct(F.col("id").alias(doc_id), F.col("source").alias(source))), plan, seed, most)
     order = F.struct("rank", F.col("id").isNull(), "id", "size")
     last = F.struct("l_rank", F.col("l_id").isNull(), "l_id", "l_size")
     more = F.col("rank").isNotNull() & ((F.col("bucket") < F.col("at")) | ((F.col("bucket") == F.col("at")) & F.col("l_rank").isNotNull() & (order <= last)))
@@ -136,7 +136,7 @@ def copies(mixed: DataFrame) -> DataFrame:
 
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, keep_rows=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

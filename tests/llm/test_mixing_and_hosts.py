@@ -39,6 +39,8 @@ def test_targets_sizes_and_limits(docs):
     assert all(abs(taken[s] - want[s]) <= 31 for s in want)
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs(rows).repartition(7)).collect()), key=str)
     assert mixing.copies(mixing.mix(docs(rows))).count() == sum(x.copies for x in got)
+    thin = mixing.mix(docs(rows), keep_rows=False)
+    assert thin.columns == ["doc_id", "source", *mixing.RESULT] and sorted((x.doc_id, x.copies, x.target) for x in thin.collect()) == sorted((x.doc_id, x.copies, x.target) for x in got)
 
 
 def test_buckets_change_nothing(docs, monkeypatch):

@@ -109,6 +109,32 @@ def test_p_values_equal_plain_and_random_strings_are_found(docs):
     assert secret_scan.scan(docs([])).count() == 0
 
 
+def test_discoveries_equal_plain(docs):
+    """Benjamini-Hochberg by hand, over the p values of each stratum in bins of a twentieth of a decade."""
+    r = np.random.default_rng(9)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    parts = ["Quick", "brown", "Fox", "jumps", "Over", "lazy", "Dog", "handler", "Factory", "Config", "2024", "x86", "v2"]
+    rows = []
+    for i in range(500):
+        if i % 3 == 0:
+            a = list(alphabets[i % 9 // 3])
+            token = "".join(r.choice(a, int(r.integers(20, 70))))
+        else:
+            token = "".join(r.choice(parts, int(r.integers(4, 9))))
+        rows.append((i, f"see {token} there {token[::-1]}"))
+    found = [x for x in secret_scan.find(docs(rows)).collect() if x.kind == 3 and x.p is not None]
+    strata = defaultdict(list)
+    for x in found:
+        strata[x.encoding, x.long].append((min(math.floor(-20 * math.log10(x.p)), 400) if x.p else 400, x.doc_id, x.start, x.end))
+    want = set()
+    for spans in strata.values():
+        bins = [s[0] for s in spans]
+        good = [b for b in set(bins) if 10 ** (-b / 20) * len(bins) <= secret_scan.LEVEL * sum(c >= b for c in bins)]
+        want |= {s[1:] for s in spans if good and s[0] >= min(good)}
+    got = {(x.doc_id, s.start, s.end) for x in secret_scan.scan(docs(rows)).collect() for s in x.spans if s.kind == "random"}
+    assert got == want and len(found) > len(want) > 50
+
+
 def test_values_with_any_name_are_found(docs):
     r = np.random.default_rng(3)
     alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
@@ -303,6 +329,39 @@ def test_other_scripts_are_judged(docs, spark):
     assert np.mean([got[i] for i in range(500, 600)]) > 0.97 and not any(got[1000 + i] for i in range(40))
 
 
+def plain_limits(rows, of_all):
+    """(low, high) of each text length, as a function, from (log perplexity, symbols, sum of squares) of held texts; quantiles are values that occur."""
+    at = lambda xs, q: sorted(xs)[max(math.ceil(q * len(xs)) - 1, 0)]
+    values = [v for v, *_ in rows]
+    long = [v for v, n, _ in rows if n >= 1000] or values
+    middle, far = at(values, 0.5), max((at(long, 0.75) - at(long, 0.25)) / 1.349, 1e-6)
+    total = sum(n for _, n, _ in rows)
+    one = math.sqrt(max(sum(s for *_, s in rows) / total - (sum(v * n for v, n, _ in rows) / total) ** 2, 0))
+    spread = lambda n: math.sqrt(far**2 + one**2 / n)
+    z = [(v - middle) / spread(n) for v, n, _ in rows]
+    least = 4.0 if of_all else 2.0
+    below, above = min(at(z, 0.005) * 1.5, -least), max(at(z, 0.995) * 1.5, least)
+    return lambda n: (middle + below * spread(n), middle + above * spread(n))
+
+
+def test_thresholds_equal_plain(docs, spark):
+    r = np.random.default_rng(11)
+    words = {"en": ["the", "of", "house", "walk", "end."], "fr": ["le", "de", "maison", "année", "fin."], "de": ["der", "von", "haus"]}
+    rows = [(i, " ".join(r.choice(words[lang], r.integers(3, 400))), lang) for i, lang in enumerate(["en"] * 700 + ["fr"] * 600 + ["de"] * 60 + ["en", "fr", "de"] * 20)]
+    rows += [(5000, "### $$$ " * 9, "en"), (5001, "the the the " * 99, None), (5002, "", "en")]
+    labels = spark.createDataFrame([(i, 1) for i in range(1360)], "doc_id long, quality int")
+    scored = kneser_ney.scores(docs(rows), labels, "text", "doc_id", "lang", "doc_id", "quality").collect()
+    held = [(x.lang, (x.log_perplexity, x.n_symbols, x.squares)) for x in scored if x.part == 2]
+    own = {lang: [v for k, v in held if k == lang] for lang in words}
+    assert len(own["en"]) >= 50 <= len(own["fr"]) and 0 < len(own["de"]) < 50
+    limits = {lang: plain_limits(v, False) for lang, v in own.items() if len(v) >= 50}
+    rest = plain_limits([v for _, v in held], True)
+    for x in kneser_ney.classify(docs(rows), labels).collect():
+        low, high = limits.get(x.lang, rest)(max(x.n_symbols, 1))
+        assert (x.low, x.high) == pytest.approx((low, high), rel=1e-6)
+        assert x.kept == (x.n_symbols > 0 and x.low <= x.log_perplexity <= x.high)
+
+
 def test_held_out_documents(spark):
     """A third of the labels is kept back: of its good documents nearly all stay, of its bad ones few."""
     data = "/root/testdata/sf0.1"
