@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents.
+
+Defined results: quality drops documents without text, and judges rows that share a doc_id, or have none, each by its own text; of equal texts the row with the
+smallest doc_id stays, a null one last; of near copies the smallest doc_id stays, rows without doc_id all stay, and rows that share one stay or go together; the mixture returns
+a row as often as it is taken, and a null source is a source of its own; rows that repeat are separate until exact copies go; very long texts are read whole; an
+empty table gives empty results; other columns, whatever their names, come along to the last stage but one.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clipquarry.llm import bpe, exact_dedup, kneser_ney, mixing, near_dedup
-from clipquarry.llm.common import table, work_dir
+from clipquarry.llm.common import passing, table, work_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +61,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
+    folder = passing(spark, f"{work_dir(spark)}/pipeline/{uuid.uuid4().hex}")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         if name == STAGES[-1][0]:
             return out
-        path = f"{work_dir(spark)}/pipeline/{uuid.uuid4().hex}/{name}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs
