@@ -72,8 +72,18 @@ def query_vector(spark: SparkSession, sf_dir: str, clip_id: int, name: str = "ve
     return list(rows.where(F.col("clip_id") == clip_id).first()[name])
 
 
+_models: dict[tuple[str, str, bool], compress.Model] = {}
+
+
 def model(spark: SparkSession, sf_dir: str, levels: bool = True) -> compress.Model:
-    """A compressor that is not fitted but read off the data, so that SQL can make the same one."""
+    """A compressor that is not fitted but read off the data, so that SQL can make the same one; made once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, levels)
+    if key not in _models:
+        _models[key] = _made(spark, sf_dir, levels)
+    return _models[key]
+
+
+def _made(spark: SparkSession, sf_dir: str, levels: bool) -> compress.Model:
     rows = tokens(spark, sf_dir)
     mean = list(rows.agg(*[F.avg(F.element_at("vec", i + 1)) for i in range(16)]).first())
     base = compress.Model(mean, COMPONENTS, [])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..work import work_dir
+from ..work import passing, work_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -41,7 +41,7 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def drained_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frames of the events table, through a stream."""
-    base = f"{work_dir(spark)}/stream/{uuid.uuid4().hex}"
+    base = passing(spark, f"{work_dir(spark)}/stream/{uuid.uuid4().hex}")
     drain(event_stream(spark, sf_dir), f"{base}/frames", f"{base}/checkpoint")
     events = spark.read.parquet(f"{base}/frames").drop("batch")
     first = events.groupBy("user_id").agg(F.min("ts").alias("first"))
@@ -62,7 +62,7 @@ def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(episode_index, frames, last_frame) after all micro-batches: each episode's state is its count and time span."""
-    base = f"{work_dir(spark)}/stream/{uuid.uuid4().hex}"
+    base = passing(spark, f"{work_dir(spark)}/stream/{uuid.uuid4().hex}")
     rows = event_stream(spark, sf_dir).select(F.col("user_id").alias("episode_index"), F.expr("unix_micros(cast(ts AS timestamp))").alias("micros"))
     out = rows.groupBy("episode_index").applyInPandasWithState(_count, "episode_index long, frames long, last_frame long", "n long, first long, last long", "update", GroupStateTimeout.NoTimeout)
     sink = append_once(f"{base}/sessions")
