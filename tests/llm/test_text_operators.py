@@ -312,9 +312,44 @@ def test_perplexity_equals_plain(docs, spark):
 @pytest.mark.parametrize("texts", [["abc abd abc xyz", "the end of the house"], ["a"], ["abcdefghijklmnopqrstuvwxyz " * 9], None])
 def test_probabilities_sum_to_one(spark, small, texts):
     text = spark.createDataFrame([(t,) for t in texts], "text string") if texts else spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
-    logs = kneser_ney.log_table(kneser_ney.train(text))
-    assert np.isfinite(logs).all()
-    assert np.allclose(np.exp(logs).reshape(-1, 64).sum(1), 1, atol=1e-4)
+    seen, back, low = kneser_ney.train(text)
+    p = (back.reshape(64, -1, 1) * low.reshape(1, -1, 64)).reshape(-1)
+    rows = seen.toPandas()
+    p[rows["k"].to_numpy()] += rows["a"].to_numpy()
+    assert (p > 0).all() and np.allclose(p.reshape(-1, 64).sum(1), 1, atol=1e-9)
+
+
+def test_packed_blocks_come_back():
+    r = np.random.default_rng(3)
+    size = kneser_ney.SIZE**kneser_ney.ORDER
+    found = []
+    for n in (0, 1, 500, 3000, 40, 0):
+        k = np.unique(r.integers(0, size, n))
+        found.append((k, np.where(r.random(len(k)) < 0.1, r.integers(1, 10**6, len(k)), r.integers(1, 4, len(k)))))
+    got = [{} for _ in found]
+    for shard, payload in kneser_ney.pack(16, found):
+        docs_, keys, lengths, doc, often = kneser_ney.unpack(payload)
+        assert docs_ == len(found) and (keys // (size // 16) == shard).all()
+        for k, d, n in zip(np.repeat(keys, lengths).tolist(), doc.tolist(), often.tolist(), strict=True):
+            got[d][k] = n
+    assert got == [dict(zip(k.tolist(), n.tolist(), strict=True)) for k, n in found]
+    assert list(kneser_ney.pack(16, [])) == [] and list(kneser_ney.pack(16, found[:1])) == []
+
+
+def test_blocks_and_shards_change_nothing(docs, spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(r.choice(["the", "of", "Haus", "###", "x1"], r.integers(0, 50))), ["en", "fr"][i % 2]) for i in range(200)] + [(300, "a" * 5000, "en")]
+    labels = spark.createDataFrame([(i, 1) for i in range(90)], "doc_id long, quality int")
+    take = lambda: {x.doc_id: (x.n_symbols, round(x.log_perplexity or -1, 9)) for x in kneser_ney.classify(docs(rows).repartition(3), labels).collect()}
+    want = take()
+    for shards, block, per in ((1, 100, 50_000), (64, 1_000_000, 7)):
+        for name, x in (("SHARDS", shards), ("BLOCK", block), ("BLOCK_DOCS", per)):
+            monkeypatch.setattr(kneser_ney, name, x)
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        try:
+            assert take() == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_other_scripts_are_judged(docs, spark):
