@@ -8,7 +8,7 @@ documents of its language, under this one 4.)
 
 The counts of the highest order are sharded, by a scramble of the n-gram, and never gathered. The lower orders, counts of the different n-grams that continue each of theirs, become
 probabilities and back-off weights on the driver and go to every task. Documents are read once, in blocks. A block's different n-grams, and for each the documents that
-have it and how often, are packed into one row per shard (about a byte for each n-gram of a document) and joined with the shard's counts. What
+have it and how often, are packed into one row per shard (about two bytes for each different n-gram of a document) and joined with the shard's counts. What
 comes back is a block's sums over one shard, which are added up by block. A shard is dealt to as many tasks as there are shuffle partitions for it.
 
 One in HELD of the trusted texts is not counted; these set the thresholds. A document's log perplexity is compared with the
