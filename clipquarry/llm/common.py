@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..work import delete, forget, passing, work_dir
 from ..work import saved as written
 
-__all__ = ["delete", "few", "forget", "lower_ascii", "passing", "slices", "table", "whole", "without", "work_dir", "written"]
+__all__ = ["delete", "few", "forget", "lower_ascii", "passing", "release", "slices", "table", "whole", "without", "work_dir", "written"]
 
 #: White space and words as the queries define them (ASCII white space only).
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,14 +31,29 @@ def few(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if size <= (MAX_BROADCAST if limit is None else limit) else df
 
 
-def slices(batches, rows: int = 512):
-    """Record batches in pieces of at most ``rows`` rows, so that what a worker holds of long texts stays small."""
+def release() -> None:
+    """Gives free memory of a Python worker back: workers live on, and what one stage needed would be missing in the next."""
+    import ctypes
+    import gc
+
     import pyarrow as pa
 
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches, rows: int = 512):
+    """Record batches in pieces of at most ``rows`` rows, so that what a worker holds of long texts stays small."""
+    batch = None
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    del batch
+    release()
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, release, written
 
 
 def each_group(fn: Callable[[pa.Table], dict[str, np.ndarray] | None], schema: pa.Schema, least: int = 2):
@@ -57,6 +57,8 @@ def each_group(fn: Callable[[pa.Table], dict[str, np.ndarray] | None], schema: p
             take(pa.Table.from_batches(held))
         if out:
             yield flush()
+        held, out = [], []
+        release()
 
     return run
 

@@ -53,11 +53,11 @@ def figures(docs: DataFrame, text: str, doc_id: str, host: str) -> DataFrame:
     seen = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{host}`").alias("host"), whole(text).alias("t"))
     seen = seen.select(
         "doc_id", "host",
-        F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.regexp_replace(t, f"[{SYMBOLS}]", ""))).cast("long").alias("n_symbols"),
         F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.filter(F.split(t, SPACE, -1), lambda x: x != "").alias("words"),
     )
+    seen = seen.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
     counted = with_repeat_words(seen, "words").select(
         "doc_id", "host", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",

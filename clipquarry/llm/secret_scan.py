@@ -52,10 +52,11 @@ BINS = 400
 
 
 def matches(text: Column, k: int, pattern: str) -> Column:
-    """Of each match: kind, number, code points between it and the match before, the match."""
+    """Of each match: kind, number, code points between it and the match before, the match. Most texts have none, which one search tells."""
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     found = F.filter(both, lambda x: x["m"].isNotNull())
-    return F.transform(found, lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["m"].alias("m")))
+    each = F.transform(found, lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["m"].alias("m")))
+    return F.when(text.rlike(pattern), each).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,m:string>>"))
 
 
 def tail(z: Column) -> Column:
