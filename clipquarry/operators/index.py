@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..work import saved
 from .compress import assigned, uniform_sample
 from .search import coarse_search, knn_join, positive
 from .tokens import unit
@@ -40,7 +41,7 @@ class Index:
         rows = unit(vectors.select("clip_id", F.col(vec).alias("vec")), "vec")
         fitted = KMeans(k=lists, seed=seed, featuresCol="x").fit(uniform_sample(rows, sample, seed).select(array_to_vector("vec").alias("x")))
         centres = [c.tolist() for c in fitted.clusterCenters()]
-        listed = assigned(rows, centres, "vec", "list")
+        listed = saved(assigned(rows, centres, "vec", "list", kernel=True))
         # A list with many rows is dealt to several tasks, and then has several files.
         parts = listed.groupBy(F.col("list").alias("__l")).agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("__parts"))
         dealt = listed.join(F.broadcast(parts), F.col("list") == F.col("__l")).withColumn("__part", F.pmod(F.xxhash64("clip_id"), F.col("__parts"))).drop("__l", "__parts")  # one row per list
