@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clipquarry.functions import kernels
 from clipquarry.operators import clips, compress, index, numbering, search, tokens, trajectory
 from clipquarry.operators.tokens import Box, Grid
 
@@ -262,3 +263,32 @@ def test_pooling_and_units(spark):
     assert got == {1: [2.0, 2.0], 2: [0.0, 0.0]}
     unit = [x.vec for x in tokens.unit(t, "vec").orderBy("clip_id", "token_pos").collect()]
     assert unit == [[0.6, 0.8], [1.0, 0.0], [0.0, 0.0]]
+
+
+def odd_vectors(n=3000, d=6, seed=7):
+    """Vectors with copies, near ties, zeros, and every 50th one odd: null, short, with a null, not a number, infinite."""
+    r = np.random.default_rng(seed)
+    x = r.integers(-2, 3, size=(n, d)).astype(float) + r.choice([0.0, 1e-7, 1e-6], size=(n, 1))
+    odd = [None, [1.0, 2.0], [None] + [1.0] * (d - 1), [math.nan] + [1.0] * (d - 1), [math.inf] + [1.0] * (d - 1), [0.0] * d]
+    return [(None if i == 77 else i * 7919 % n, odd[i // 50 % 6] if i % 50 == 0 else v.tolist()) for i, v in enumerate(x)]
+
+
+def by_query(found):
+    return {q: sorted(((x.rank, x.clip_id, str(x.score)) for x in found if x.query_id == q)) for q in {x.query_id for x in found}}
+
+
+def test_nearest_by_products_equal_columns(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_BYTES", 4000)  # several blocks
+    rows = spark.createDataFrame(odd_vectors(), "clip_id long, vec array<double>").repartition(3)
+    asked = rows.where("clip_id % 20 = 0").withColumnRenamed("clip_id", "query_id")
+    products = search.knn_join(asked, rows, 10)
+    # A struct is no whole number, so these meet by columns.
+    columns = search.knn_join(asked, rows.select(F.struct("clip_id").alias("key"), "vec"), 10, key="key").withColumn("clip_id", F.col("key.clip_id"))
+    assert by_query(products.collect()) == by_query(columns.collect())
+    assert products.drop("rank").dtypes == [("query_id", "bigint"), ("clip_id", "bigint"), ("score", "double")]
+
+
+def test_rounding_is_spark_s(spark):
+    x = [0.1234565, 0.1234575, -0.1234565, 0.12345649999999999, 0.9999995, -4e-7, 5e-7, 0.0, 1.0, -0.3]
+    want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
+    assert kernels.rounded(np.array(x), 6).tolist() == want
