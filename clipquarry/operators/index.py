@@ -14,7 +14,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..work import saved
 from .compress import assigned, uniform_sample
-from .search import coarse_search, knn_join, positive
+from .search import BLOCK_BYTES, DIGITS, coarse_search, knn_join, met, plain, positive
 from .tokens import unit
 
 LEAST_RECALL = 0.95
@@ -63,18 +63,25 @@ class Index:
         return coarse_search(rows, query, k, vec="vec")
 
     def knn(self, queries: DataFrame, k: int) -> DataFrame:
-        """(query_id, clip_id, score, rank) of a set of queries (query_id, vec): each meets the rows of its lists only."""
+        """(query_id, clip_id, score, rank) of a set of queries (query_id, vec): each meets the rows of its lists only, by matrix products as in knn_join()."""
         from ..functions import vectors as V
 
-        spark = queries.sparkSession
+        positive(k=k)
+        spark, width = queries.sparkSession, len(self.centres[0])
         q = unit(queries.select("query_id", "vec"), "vec")
         book = F.array(*[V.literal(c) for c in self.centres])
         q = q.withColumn("__d", F.transform(book, lambda c: V.squared_distance(F.col("vec"), c)))
         near = F.slice(F.array_sort(F.transform("__d", lambda d, i: F.struct(d.alias("d"), i.alias("i")))), 1, self.probes)
-        q = q.select("query_id", F.col("vec").alias("q"), F.explode(near).alias("x")).select("query_id", "q", F.col("x.i").alias("list"))
-        met = spark.read.parquet(f"{self.path}/vectors").join(q, "list").select("query_id", "clip_id", F.round(V.dot(F.col("vec"), F.col("q")), 6).alias("score"))
+        q = q.select("query_id", F.col("vec").alias("q"), F.transform(near, lambda x: x["i"]).alias("lists"))
+        total, odd = q.agg(F.count("*"), F.count_if(~plain("q", width))).first()
+        blocks = max(1, -(-(total * width * 8) // BLOCK_BYTES))
+        rows = spark.read.parquet(f"{self.path}/vectors").select("clip_id", "vec", "list")
+        found = met(q.where(plain("q", width)), rows, k, width, blocks)
+        if odd:  # queries that lack numbers
+            each = q.where(~plain("q", width)).select("query_id", "q", F.explode("lists").alias("list"))
+            found = found.unionByName(rows.join(each, "list").select("query_id", "clip_id", F.round(V.dot(F.col("vec"), F.col("q")), DIGITS).alias("score")))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "clip_id")
-        return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> float:

@@ -288,6 +288,32 @@ def test_nearest_by_products_equal_columns(spark, monkeypatch):
     assert products.drop("rank").dtypes == [("query_id", "bigint"), ("clip_id", "bigint"), ("score", "double")]
 
 
+def test_searches_pair_no_rows_in_the_jvm(spark, tmp_path):
+    """Pairs of all queries and rows, made one by one, took minutes for 2,565 queries of 51,282 rows."""
+    _, c = corpus(spark)
+    asked = c.where("clip_id % 20 = 0").withColumnsRenamed({"clip_id": "query_id", "coarse": "vec"})
+    built = index.Index.build(c, str(tmp_path / "i"), lists=8, probes=8)
+    exact = search.knn_join(asked, c.withColumnRenamed("coarse", "vec"), 10)
+    for found in (exact, built.knn(asked, 10)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "MapInArrow" in plan
+    assert by_query(exact.collect()) == by_query(built.knn(asked, 10).collect())
+
+
+def test_lists_that_a_query_asks(spark, tmp_path):
+    """Every query gets the nearest rows of its own lists, and no other ones."""
+    x, c = corpus(spark, n=400)
+    built = index.Index.build(c, str(tmp_path / "i"), lists=8, probes=2)
+    rows = {r.clip_id: (r.list, np.array(r.vec)) for r in spark.read.parquet(str(tmp_path / "i/vectors")).collect()}
+    asked = c.where("clip_id % 20 = 3").withColumnsRenamed({"clip_id": "query_id", "coarse": "vec"})
+    got = by_query(built.knn(asked, 5).collect())
+    for q, found in got.items():
+        near = built.nearest_lists(x[q].tolist())
+        want = sorted((-round(float(v @ rows[q][1]), 6), i) for i, (at, v) in rows.items() if at in near)[:5]
+        assert [i for _, i, _ in found] == [i for _, i in want]
+    assert len(got) == 20
+
+
 def test_rounding_is_spark_s(spark):
     x = [0.1234565, 0.1234575, -0.1234565, 0.12345649999999999, 0.9999995, -4e-7, 5e-7, 0.0, 1.0, -0.3]
     want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
