@@ -241,6 +241,21 @@ def test_templates_do_not_explode(spark, n):
     assert got == {i: "block" if "/pills/buy/" in u else "allow" for i, u in enumerate(urls)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mining_of_many_items_equals_counting(spark, seed):
+    """URLs of more items than FP-growth lists, and rules of items that tell little by themselves."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for _ in range(300):
+        x = [t for t in "abcdefghijklmn" if r.random() < (0.5 if t in "kl" else 0.9)]
+        # k and l tell nothing by themselves.
+        rows.append((x, bool(r.random() < (0.9 if ("k" in x) == ("l" in x) else 0.2))))
+    assert max(len(x) for x, _ in rows) > url_rules.ITEMS
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.05, 0.6, 0.01).collect()
+    want = plain_rules(rows, 0.05, 0.6, 0.01)
+    assert {tuple(x.needs): round(x.confidence, 9) for x in got} == {c: round(s, 9) for c, s in want.items()} and want
+
+
 def test_mined_rules_where_most_urls_are_bad(spark):
     r = np.random.default_rng(1)
     rows = [(f"http://{('pills', 'shop', 'news')[i % 3]}.example.org/{r.choice(['buy', 'read', 'win'])}/{i}", i % 3 == 0 or bool(r.random() < 0.4)) for i in range(900)]
