@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -318,3 +319,11 @@ def test_rounding_is_spark_s(spark):
     x = [0.1234565, 0.1234575, -0.1234565, 0.12345649999999999, 0.9999995, -4e-7, 5e-7, 0.0, 1.0, -0.3]
     want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
     assert kernels.rounded(np.array(x), 6).tolist() == want
+
+
+def test_a_norm_is_computed_once(spark):
+    """Once for each of its elements, the norms of these took longer than 40 s, as the work goes with the square of the width."""
+    wide = spark.range(0, 200, 1, 4).select("id", F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda x: x + F.col("id") * 0.5).alias("vec"))
+    began = time.perf_counter()
+    got = tokens.unit(wide, "vec").select(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x).alias("n")).agg(F.min("n"), F.max("n")).first()
+    assert got == pytest.approx((1.0, 1.0)) and time.perf_counter() - began < 20
